@@ -119,6 +119,27 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         i = j
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capital letters of ASCII and Latin-1 made small."""
+    low = _LOWER[data]
+    upper = np.flatnonzero(low[:-1] == 0xC3) + 1
+    upper = upper[(low[upper] >= 0x80) & (low[upper] <= 0x9E) & (low[upper] != 0x97)]
+    low[upper] += 32
+    return low
+
+
+def prefix_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: tuple[int, ...]):
+    """For each size in turn (index of the words that are longer, in bytes; hash of that many first bytes)."""
+    h, deep = np.zeros(len(start), np.uint64), 0
+    live = np.arange(len(start))
+    for p in sizes:
+        live = live[end[live] - start[live] > p]
+        for k in range(deep, p):
+            h[live] += _BYTE_HASH[low[start[live] + k]] * _POWERS[k]
+        deep = p
+        yield live, mix64(h[live] + np.uint64(p))
+
+
 def tokenise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words as maximal runs of letters and digits, in lower case.
 
@@ -127,10 +148,7 @@ def tokenise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     rows = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low = _LOWER[data]
-    upper = np.flatnonzero(low[:-1] == 0xC3) + 1
-    upper = upper[(low[upper] >= 0x80) & (low[upper] <= 0x9E) & (low[upper] != 0x97)]
-    low[upper] += 32  # capital Latin-1 letters in UTF-8
+    low = lowered(data)
     word = _WORD[low]
     begins = word.copy()
     begins[1:] &= ~word[:-1]

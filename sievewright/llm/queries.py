@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import decontamination, langid, mixing, neardup, sharding
+from sievewright.llm import decontamination, langid, mixing, neardup, quality, sharding, toxicity, warc
 from sievewright.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,9 +29,21 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(docs, langid.fit_languages(docs))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(read_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_sample_ids(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_near_dedup, op4_language_id, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.SHARDING_SQL, "op10_mixing": mixing.MIXING_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_near_dedup, op4_language_id, op5_warc, op8_quality, op9_toxicity, op10_mixing)}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.SHARDING_SQL, "op5_warc": warc.WARC_SQL, "op8_quality": quality.QUALITY_SQL, "op10_mixing": mixing.MIXING_SQL}
