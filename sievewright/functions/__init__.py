@@ -1,0 +1 @@
+"""Column builders: coercions, text, geography, similarity. All lazy, all JVM-side but the name similarity."""

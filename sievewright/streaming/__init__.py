@@ -1,0 +1 @@
+"""Streams of inspection records."""
