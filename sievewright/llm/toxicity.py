@@ -49,6 +49,14 @@ def once(row: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[new], feature[new]
 
 
+def presence(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash) of the features of texts, each pair once, in parts of about a megabyte of text."""
+    data, offsets = text_buffers(pa.array(texts, pa.large_string()))
+    for i, j in chunks(offsets, 1 << 20):
+        r, f = once(*features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[:2])
+        yield (r + i).astype(np.int32), f
+
+
 def word_hash(word: str) -> np.uint64:
     b = np.frombuffer(word.encode(), np.uint8)
     return tokenise(b, np.array([0, len(b)]))[0][0]
@@ -196,16 +204,18 @@ def mine(docs: DataFrame, labels: DataFrame, dev_docs: int = DEV_DOCS, id_col: s
     rows = _texts_of(Columns(docs), own.withColumn("nth", nth).where(F.col("nth") <= dev_docs).select("id", "label"), id_col, text_col).collect()
     if not rows:
         return np.zeros(0, np.uint64)
-    data, offsets = text_buffers(pa.array([r["text"] for r in rows], pa.large_string()))
-    r, f = once(*features(data, offsets)[:2])
-    label = np.array([r["label"] for r in rows])
-    names, code = np.unique(f, return_inverse=True)
-    bad = np.bincount(code[label[r] == 1], minlength=len(names))
-    good = np.bincount(code[label[r] == 0], minlength=len(names))
-    odds = (bad + 0.5) / (label.sum() + 1) / ((good + 0.5) / ((1 - label).sum() + 1))
+    by_label = [[r["text"] for r in rows if r["label"] == k] for k in (0, 1)]
+    names, bad = np.unique(np.concatenate([np.zeros(0, np.uint64), *[f for _, f in presence(by_label[1])]]), return_counts=True)
+    names, bad = names[bad >= MINED_DOCS], bad[bad >= MINED_DOCS]
+    good = np.zeros(len(names))
+    for _, f in presence(by_label[0]):
+        at = np.minimum(np.searchsorted(names, f), max(0, len(names) - 1))
+        if len(names):
+            good += np.bincount(at[names[at] == f], minlength=len(names))
+    odds = (bad + 0.5) / (len(by_label[1]) + 1) / ((good + 0.5) / (len(by_label[0]) + 1))
     general = " ".join(w for words in LEXICONS for w in words).encode()  # the mined voters are to add to the general ones
     known = features(np.frombuffer(general, np.uint8), np.array([0, len(general)]))[1]
-    return names[(bad >= MINED_DOCS) & (odds >= MINED_ODDS) & ~np.isin(names, known)]
+    return names[(odds >= MINED_ODDS) & ~np.isin(names, known)]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, train_docs: int = TRAIN_DOCS, dev_docs: int = DEV_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,12 +251,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF,
         chosen = own.groupBy("id").agg(F.max("posterior").alias("posterior"), F.max("class").alias("class")).withColumn("nth", nth).where(F.col("nth") <= train_docs).drop("nth")
         rows = _texts_of(t, chosen, id_col, text_col).collect()
         if rows:
-            data, offsets = text_buffers(pa.array([r["text"] for r in rows], pa.large_string()))
-            r, f = once(*features(data, offsets)[:2])
+            parts = [(r, (f % np.uint64(BUCKETS)).astype(np.int32)) for r, f in presence([x["text"] for x in rows])]
             kind = np.array([x["class"] for x in rows])
             share = np.array([counts[(posterior >= 0.5) == bool(k)].sum() / max(1, (kind == k).sum()) for k in (0, 1)])
             share[1] = max(share[1], share[0])  # a rare toxic document counts for as much as a clean one
-            linear = fit_linear(r, (f % np.uint64(BUCKETS)).astype(np.int64), len(rows), np.array([x["posterior"] for x in rows]), share[kind])
+            linear = fit_linear(np.concatenate([r for r, _ in parts]), np.concatenate([f for _, f in parts]), len(rows), np.array([x["posterior"] for x in rows]), share[kind])
     shared = spark.sparkContext.broadcast(linear)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
