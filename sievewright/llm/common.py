@@ -2,45 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievewright.storage import shared_dir, write_table  # noqa: F401 (the operators take them from here)
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---------------------------------------------------------------- shared folder
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = made.get() if made.isDefined() else None
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="sievewright-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def write_table(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back.
-
-    The files survive the loss of any executor, and their sizes let the planner choose joins.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").option("compression", "snappy").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # ---------------------------------------------------------------- columns
 
 
