@@ -20,12 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def write_table(df: DataFrame, label: str) -> DataFrame:
+def write_table(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
     The files survive the loss of any executor, and their sizes let the planner choose joins.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").option("compression", "snappy").parquet(path)
+    df.write.mode("errorifexists").option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
