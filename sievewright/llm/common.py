@@ -44,6 +44,16 @@ class Columns:
         return df.select(*self.inner, *extra).toDF(*self.outer, *extra)
 
 
+#: A side of a join that is certainly smaller than this is sent to all executors; any other is shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def small_side(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """df, marked for broadcasting if the sum of row_bytes over it is small; costs a pass over df, so write it first."""
+    size = df.agg(F.sum(row_bytes).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def text_digest(text: Column) -> Column:
     """128 bits that name a text; null for a null text."""
     return F.unhex(F.md5(text))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import Columns, write_table
+from sievewright.llm.common import Columns, small_side, write_table
 
 #: Target weight of a value of each dimension: its share of the tokens to this power (1 keeps the corpus as it is).
 ALPHAS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
@@ -102,11 +102,10 @@ def mixing_probabilities(docs: DataFrame, alphas: dict[str, float] | None = None
 
 def _sampled(docs: DataFrame, seed: str, id_col: str, text_col: str, kw: dict):
     t, rows, prob = mixing_probabilities(docs, text_col=text_col, **kw)
-    if prob.count() * 100 < 8 << 20:  # cells of about 100 bytes; a larger table is joined by shuffle
-        prob = F.broadcast(prob)
+    prob = small_side(prob, F.lit(50) + sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("source", "lang", "topic")), F.lit(0)))
     joined = rows.join(prob, F.col("__source").eqNullSafe(prob["source"]) & F.col("__lang").eqNullSafe(prob["lang"]) & F.col("__topic").eqNullSafe(prob["topic"]), "left")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(t(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    return t, joined.withColumn("__draw", draw).where(F.col("__draw") < F.coalesce("prob", F.lit(0.0)))
+    return t, joined.withColumn("__draw", draw).where((F.col("__tokens") > 0) & (F.col("__draw") < F.coalesce("prob", F.lit(0.0))))
 
 
 def sample_mixture(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
@@ -145,7 +144,7 @@ def _mixing_sql() -> str:
     return f"""with {', '.join(parts)}
 select r.doc_id, r.source, r.lang, r.topic, cast(r.tokens as bigint) n_tokens, round(prob, 6) prob
 from rows_ r join probs p on r.source is not distinct from p.source and r.lang is not distinct from p.lang and r.topic = p.topic
-where cast(('0x' || substr(md5('{SEED}:' || coalesce(cast(doc_id as varchar), 'null')), 1, 12)) as bigint) / 281474976710656.0::double < prob"""
+where tokens > 0 and cast(('0x' || substr(md5('{SEED}:' || coalesce(cast(doc_id as varchar), 'null')), 1, 12)) as bigint) / 281474976710656.0::double < prob"""
 
 
 MIXING_SQL = _mixing_sql()
