@@ -10,11 +10,12 @@ from functools import lru_cache, reduce
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.llm.common import Columns, write_table
+from sievewright.llm.common import Columns, small_side, write_table
 
 #: Elements nested deeper are taken as children of the element at this depth.
 MAX_DEPTH = 120
@@ -209,7 +210,7 @@ def slot_map(template: str, wrapper: str) -> tuple[int, ...]:
 
 # ---------------------------------------------------------------- plan
 
-_PARSED = T.StructType([T.StructField("template", T.StringType()), T.StructField("texts", T.ArrayType(T.StructType([T.StructField("local", T.IntegerType()), T.StructField("text", T.StringType())])))])
+_PARSED = T.StructType([T.StructField("template", T.StringType()), T.StructField("structure", T.LongType()), T.StructField("texts", T.ArrayType(T.StructType([T.StructField("local", T.IntegerType()), T.StructField("text", T.StringType())])))])
 _ARROW_TEXTS = pa.list_(pa.struct([("local", pa.int32()), ("text", pa.string())]))
 
 
@@ -224,13 +225,14 @@ def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                names, texts = [], []
+                names, codes, texts = [], [], []
                 for page in batch.column(2):
                     tree = parse(page.as_py())
                     template = template_of(tree)
                     names.append(json.dumps(template, ensure_ascii=False))
+                    codes.append(xxhash.xxh3_64_intdigest(names[-1]) - (1 << 63))
                     texts.append([{"local": k, "text": node[1]} for k, node in match(tree, template)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(texts, _ARROW_TEXTS)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(codes, pa.int64()), pa.array(texts, _ARROW_TEXTS)], names=schema.names)
 
     return slim.mapInArrow(read, schema)
 
@@ -248,7 +250,10 @@ def _wrappers(templates: DataFrame) -> DataFrame:
 
 def page_wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, expression): the wrapper of each host as a union-free regular expression."""
-    show = F.udf(lambda w: expression(json.loads(w)), "string")  # one row a host
+    @F.pandas_udf("string")
+    def show(wrappers: pd.Series) -> pd.Series:
+        return wrappers.map(lambda w: expression(json.loads(w)))
+
     return _wrappers(_parsed(pages, id_col, url_col, html_col).select("host", "template").distinct()).select("host", show("wrapper").alias("expression"))
 
 
@@ -265,8 +270,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     has no constant slots. Repeated pages count once each. Malformed HTML is read as a stream: unknown end tags are
     skipped, open elements end with their parent. An empty table gives no rows.
     """
-    parsed = write_table(_parsed(pages, id_col, url_col, html_col), "html-parsed")
-    templates = parsed.groupBy("host", "template").agg(F.count("*").alias("pages"))
+    parsed = write_table(_parsed(pages, id_col, url_col, html_col), "html-parsed", "zstd")
+    templates = parsed.groupBy("host", "structure").agg(F.min("template").alias("template"))
     wrappers = write_table(_wrappers(templates.select("host", "template")), "html-wrappers")
     target = T.StructType([T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("content", T.ArrayType(T.BooleanType()))])
 
@@ -276,9 +281,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         kinds = {w: [c for _, c in slots(json.loads(w))] for w in set(wrapper)}
         return pd.DataFrame({"slots": [list(r) for r in rows], "content": [[kinds[w][k] for k in r] for r, w in zip(rows, wrapper, strict=True)]})
 
-    maps = write_table(templates.join(wrappers, "host").select("host", "template", mapped("template", "wrapper").alias("m")), "html-maps")
-    placed = parsed.join(maps, ["host", "template"]).select("id", "host", F.transform("texts", lambda x: F.struct(F.element_at("m.slots", x["local"] + 1).alias("slot"), F.element_at("m.content", x["local"] + 1).alias("content"), x["text"].alias("text"))).alias("texts"))
+    maps = write_table(templates.join(wrappers, "host").select("host", "structure", mapped("template", "wrapper").alias("m")), "html-maps")
+    placed = parsed.join(small_side(maps, F.size("m.slots") * 5 + 100), ["host", "structure"]).select("id", "host", F.transform("texts", lambda x: F.struct(F.element_at("m.slots", x["local"] + 1).alias("slot"), F.element_at("m.content", x["local"] + 1).alias("content"), x["text"].alias("text"))).alias("texts"))
     each = placed.select("host", F.monotonically_increasing_id().alias("page"), F.explode(F.filter("texts", lambda x: x["content"])).alias("x")).select("host", "page", "x.slot", F.xxhash64("x.text").alias("h"))
     constant = each.groupBy("host", "slot").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.min("page").alias("one"), F.max("page").alias("other")).where("low = high and one <> other").groupBy("host").agg(F.collect_set("slot").alias("constant"))
+    constant = write_table(constant, "html-constant")
     kept = F.filter("texts", lambda x: x["content"] & ~F.coalesce(F.array_contains("constant", x["slot"]), F.lit(False)))
-    return placed.join(constant, "host", "left").select("id", "host", kept.alias("kept")).select(F.col("id").alias(id_col), "host", F.size("kept").alias("n_fields"), F.array_join(F.transform("kept", lambda x: x["text"]), "\n").alias("text"))
+    return placed.join(small_side(constant, F.size("constant") * 4 + 100), "host", "left").select("id", "host", kept.alias("kept")).select(F.col("id").alias(id_col), "host", F.size("kept").alias("n_fields"), F.array_join(F.transform("kept", lambda x: x["text"]), "\n").alias("text"))
