@@ -131,7 +131,7 @@ def gains(m: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, self_n:
     row, col = _f(new_rows) - _f(rows), _f(new_cols) - _f(cols)
     row[k, k] = _f(m[k, k] + right[k] + left[k] + self_n) - _f(m[k, k])
     col[k, k] = 0
-    out_of, into = m.sum(axis=1)[:classes], m.sum(axis=0)[:classes]
+    out_of, into = m.sum(axis=1)[:classes] + left[:classes], m.sum(axis=0)[:classes] + right[:classes]  # whatever class the word is in
     to_right, to_left = right.sum() + self_n, left.sum() + self_n
     total = row.sum(axis=1) + col.sum(axis=1) - (_f(out_of + to_right) - _f(out_of)) - (_f(into + to_left) - _f(into))
     return total - total[own]
