@@ -71,6 +71,7 @@ def train_step(net: Network, text: np.ndarray, mask: np.ndarray, labels: np.ndar
         n = np.tanh(a[:, 2 * hid :] + r * inner[t])
         gates[t] = np.concatenate([z, r, n], axis=1)
         h[t + 1] = n + z * (h[t] - n)
+        h[t + 1, 1] *= mask[steps - 1 - t]  # reading backwards begins at the last byte, not in the padding
     fwd, bwd = h[1:, 0], h[1:, 1][::-1]
     prob = _softmax(net.v[0] @ fwd + net.v[1] @ bwd + net.c[:, None], 1)
     total = max(1, int(mask.sum()))
@@ -88,6 +89,7 @@ def train_step(net: Network, text: np.ndarray, mask: np.ndarray, labels: np.ndar
     every = np.zeros((steps, 2, 3 * hid, batch), np.float32)
     for t in range(steps - 1, -1, -1):
         dh = dh + out[t]
+        dh[1] *= mask[steps - 1 - t]
         z, r, n = gates[t][:, :hid], gates[t][:, hid : 2 * hid], gates[t][:, 2 * hid :]
         dn = dh * (1 - z) * (1 - n * n)
         dz = dh * (h[t] - n) * z * (1 - z)
@@ -135,8 +137,11 @@ def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = S
     return net
 
 
-def position_probabilities(net: Network, text: np.ndarray) -> np.ndarray:
-    """(steps, languages, windows): a label distribution for every position of text (steps, windows)."""
+def position_probabilities(net: Network, text: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """(steps, languages, windows): a label distribution for every position of text (steps, windows).
+
+    lengths, rising: the windows' own; what lies beyond is padding, whose labels mean nothing and change no others.
+    """
     steps, batch = text.shape
     hid = net.u.shape[2]
     scale = np.ones((3 * hid, 1), np.float32)
@@ -161,6 +166,8 @@ def position_probabilities(net: Network, text: np.ndarray) -> np.ndarray:
         np.subtract(h[t], n, out=new)
         new *= zr[:, :hid]
         new += n
+        if lengths is not None and (padding := int(np.searchsorted(lengths, steps - 1 - t, side="right"))):
+            new[1, :, :padding] = 0
     return _softmax(net.v[0] @ h[1:, 0] + net.v[1] @ h[:0:-1, 1] + net.c[:, None], 1)
 
 
@@ -179,7 +186,7 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray, window: int = WI
         top = int(length[w[-1]])
         inside = steps[:top, None] < length[w][None, :]
         text = np.where(inside, data[np.minimum(start[w][None, :] + steps[:top, None], len(data) - 1)], 0).astype(np.intp)
-        p = position_probabilities(net, text)
+        p = position_probabilities(net, text, length[w])
         whole = bool(inside.all())
         best = p.argmax(axis=1)
         if not whole:
