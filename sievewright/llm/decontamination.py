@@ -36,7 +36,7 @@ class Tests:
     item_tokens: np.ndarray
 
 
-def test_suffixes(items: list[tuple], min_tokens: int = MIN_TOKENS, least_item: int = LEAST_ITEM) -> Tests:
+def suffixes_of(items: list[tuple], min_tokens: int = MIN_TOKENS, least_item: int = LEAST_ITEM) -> Tests:
     data, offsets = text_buffers(pa.array([t for _, t in items], pa.large_string()))
     words, rows, _, _ = tokenise(data, offsets)
     words = np.maximum(words, np.uint64(1))
@@ -172,7 +172,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, min_tokens: int = M
     out = None
     spark = docs.sparkSession
     for items in _slices(benchmark, item_col, item_text_col, slice_bytes):
-        shared = spark.sparkContext.broadcast(test_suffixes(items, min_tokens, least_item))
+        shared = spark.sparkContext.broadcast(suffixes_of(items, min_tokens, least_item))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             tests = shared.value
@@ -205,7 +205,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_T
     kept = t.df
     at = t.outer.index(text_col)
     for items in _slices(benchmark, item_col, item_text_col, slice_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(test_suffixes(items, min_tokens, least_item))
+        shared = docs.sparkSession.sparkContext.broadcast(suffixes_of(items, min_tokens, least_item))
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
