@@ -12,7 +12,7 @@ from sievewright.roles import Roles
 
 def default_license(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """A null licence is licence 0."""
-    return df.withColumn(roles.license, F.coalesce(c.col(roles.license), F.lit(0)))
+    return df.withColumn(roles.license, F.coalesce(c.col(roles.license), F.lit(0).cast(df.schema[roles.license].dataType)))
 
 
 def clean_inspections(df: DataFrame, roles: Roles = Roles(), default_category: str = "Others", dropped_risk: str = "All") -> DataFrame:
