@@ -167,8 +167,8 @@ def fd_confidence(spark, d):
     return out
 
 
-_LEFTS = ["license_no", "inspection_id", "address", "zip", "latitude", "longitude"]
-_RIGHTS = ["dba_name", "aka_name", "facility_type", "address", "zip", "latitude", "longitude"]
+_LEFTS = ["zip", "license_no", "latitude", "address", "longitude", "inspection_id"]
+_RIGHTS = ["zip", "dba_name", "latitude", "aka_name", "longitude", "address", "facility_type"]
 
 
 @query(o.clean("select *, round_even(violating_groups * 100.0::double / total_groups, 2) violation_rate, round_even(100 * round_even(1 - violating_groups / total_groups, 4), 2) accuracy, violating_groups = 0 holds_exactly from (" + " union all ".join(o.fd_counts("clean", a, b, True) for a in _LEFTS for b in _RIGHTS if a != b) + ")"))
