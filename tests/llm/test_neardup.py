@@ -38,7 +38,7 @@ def brute_groups(rows, threshold=nd.THRESHOLD):
     for i in range(len(rows)):
         for j in range(i):
             n = max(len(own[i]), len(own[j]))
-            if rows[i][1] != rows[j][1] and n - (bags[i] & bags[j]).total() > (1 - threshold) * n:
+            if rows[i][1] != rows[j][1] and n - (bags[i] & bags[j]).total() > (1 - threshold) * n + 1e-9:
                 continue  # no alignment is better than the bags of words
             same = rows[i][1] == rows[j][1]
             if same or (n and min(len(own[i]), len(own[j])) >= threshold * n - 1e-6 and distance(own[i].tolist(), own[j].tolist()) <= int((1 - threshold) * n + 1e-9)):
