@@ -6,9 +6,11 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sievewright.operators import charts, clean, dependencies, kpi, profile, repair, rules, star
 from sievewright.roles import Roles
+from sievewright.sources.tables import write_csv
 
 
 @dataclass
@@ -30,6 +32,19 @@ class Prepared:
     riskiest: DataFrame
     charts: dict[str, DataFrame]
 
+    def write(self, folder: str) -> None:
+        """The reports and tables as CSV folders: small reports in one file, rows in as many as there are tasks."""
+        flat = lambda a: F.array_join(a, ", ")
+        write_csv(self.profile, f"{folder}/profile", one_file=True)
+        write_csv(self.rules.withColumns({c: flat(c) for c in ("antecedents", "consequents")}), f"{folder}/association_rules", one_file=True)
+        write_csv(self.dependencies, f"{folder}/dependencies", one_file=True)
+        write_csv(self.repair_summary, f"{folder}/repair_summary", one_file=True)
+        write_csv(self.repair_log.withColumn("replaced_values", F.to_json("replaced_values")), f"{folder}/repair_log")
+        write_csv(self.entities, f"{folder}/entities")
+        write_csv(self.inspections, f"{folder}/inspections")
+        write_csv(self.kpis, f"{folder}/entity_kpis")
+        write_csv(self.riskiest, f"{folder}/high_risk", one_file=True)
+
     def release(self) -> None:
         for df in (self.cleaned, self.repaired, self.merged):
             df.unpersist()

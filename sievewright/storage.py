@@ -20,12 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sievewright-{spark.sparkContext.applicationId}"
+
+
+def discard_tables(spark: SparkSession) -> None:
+    """Delete this application's tables; frames that still read them can't be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_table(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
-    The files survive the loss of any executor, and their sizes let the planner choose joins.
+    The files survive the loss of any executor, and their sizes let the planner choose joins. They stay until
+    discard_tables(), because results are lazy.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from sievewright.operators import charts, clean, dependencies, entity, impute, k
 from sievewright.plans import pipeline
 from sievewright.plans.inspections import inspections
 from sievewright.roles import FILE_NAMES, Roles
+from sievewright.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -178,12 +179,16 @@ def test_risk_index_by_hand(spark):
     assert [r["entity_id"] for r in kpi.riskiest(kpi.entity_kpis(df), 1).collect()] == ["e", "q"] and kpi.riskiest(kpi.entity_kpis(df), 5).count() == 0
 
 
-def test_pipeline_end_to_end(insp):
+def test_pipeline_end_to_end(spark, insp, tmp_path):
     p = pipeline.prepare(insp)
     assert p.profile.count() == len(insp.columns) and p.rules.count() <= 50 and p.dependencies.count() == 38
     assert p.kpis.agg(F.sum("total_inspections")).collect()[0][0] == p.merged.where("entity_id is not null").count()
     assert p.riskiest.count() <= 100 and set(p.charts) >= {"missing_value_percentage", "fd_confidence_ranking", "category_distribution_results"}
     assert p.repaired.where("latitude is null or longitude is null or zip is null").count() == 0
+    p.write(str(tmp_path))
+    assert len(list(tmp_path.iterdir())) == 9
+    assert tables.read_csv(spark, str(tmp_path / "inspections")).count() == p.inspections.count()
+    assert tables.read_csv(spark, str(tmp_path / "association_rules")).columns == p.rules.columns
     p.release()
 
 

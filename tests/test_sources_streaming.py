@@ -1,5 +1,8 @@
+from pathlib import Path
+
 import pytest
 
+from sievewright import storage
 from sievewright.operators.clean import clean_inspections
 from sievewright.plans.inspections import inspections
 from sievewright.sources import tables
@@ -18,6 +21,15 @@ def test_csv_round_trip(spark, tmp_path):
     assert [r["n"] for r in typed.orderBy("n").collect()] == [1, 2, 3]
 
 
+def test_shared_tables_go_when_discarded(spark):
+    table = storage.write_table(spark.range(3), "t")
+    folder = Path(table.inputFiles()[0].removeprefix("file://")).parent
+    assert table.count() == 3 and folder.exists()
+    storage.discard_tables(spark)
+    assert not folder.exists()
+    storage.discard_tables(spark)
+
+
 def test_missing_input(spark, tmp_path):
     for read in (tables.read_csv, tables.read_parquet):
         with pytest.raises(tables.InputMissing):
