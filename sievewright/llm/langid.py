@@ -21,7 +21,10 @@ WINDOW = 128
 DOCS_PER_LANG, STEPS, BATCH, TRAIN_WINDOW, RATE = 150, 220, 160, 64, 0.02
 #: Pooled probability under which a document is rejected.
 MIN_PROB = 0.5
+#: The label of what is no known language: digits, signs, random letters, codes, other scripts.
+UNKNOWN = "und"
 _WINDOWS_AT_ONCE = 1024
+_SCRIPTS = ((0x400, 0x44F), (0x391, 0x3C9), (0x4E00, 0x9FA5), (0x5D0, 0x5EA), (0x627, 0x64A), (0x3041, 0x3096))
 
 
 @dataclass
@@ -107,11 +110,28 @@ def train_step(net: Network, text: np.ndarray, mask: np.ndarray, labels: np.ndar
     return loss, [gx, gu, gb, gv, gc]
 
 
+def noise(g: np.random.Generator, size: int) -> np.ndarray:
+    """Bytes without a language, of one of several kinds, to train the label UNKNOWN on."""
+    kind = int(g.integers(0, 5))
+    if kind == 0:
+        alphabet = "0123456789 .,:-/"
+    elif kind == 1:
+        alphabet = "!#$%&*+-/<=>?@^_|~ "
+    elif kind == 2:
+        alphabet = "abcdefghijklmnopqrstuvwxyz  "
+    elif kind == 3:
+        alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    else:
+        low, high = _SCRIPTS[int(g.integers(0, len(_SCRIPTS)))]
+        alphabet = "".join(chr(int(c)) for c in g.integers(low, high + 1, 60)) + "   "
+    return np.frombuffer("".join(alphabet[i] for i in g.integers(0, len(alphabet), size)).encode()[:size], np.uint8)
+
+
 def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, window: int = TRAIN_WINDOW, rate: float = RATE, seed: int = 11) -> Network | None:
-    """A network for the languages of (text, language); None without any text."""
+    """A network for the languages of (text, language), and for UNKNOWN by made examples; None without any text."""
     samples = sorted(s for s in samples if s[0])
-    langs = sorted({lang for _, lang in samples})
-    if not langs:
+    langs = sorted({lang for _, lang in samples} | {UNKNOWN})
+    if len(langs) == 1:
         return None
     net = new_network(langs, hidden)
     g = np.random.default_rng(seed)
@@ -121,7 +141,7 @@ def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = S
         labels = g.integers(0, len(langs), batch)
         text, mask = np.zeros((window, batch), np.uint8), np.zeros((window, batch), np.float32)
         for i, k in enumerate(labels):
-            doc = by_lang[k][g.integers(0, len(by_lang[k]))]
+            doc = by_lang[k][g.integers(0, len(by_lang[k]))] if by_lang[k] else noise(g, window)
             size = window if g.random() < 0.8 else int(g.integers(4, window))
             at = int(g.integers(0, max(1, len(doc) - size + 1)))
             piece = doc[at : at + size]
@@ -212,7 +232,7 @@ def _identify(net: Network | None, texts: pa.Array, min_prob: float, languages:
             p[i:j], share[i:j] = prob[at, best[i:j]] / size, label[at, best[i:j]] / size
     some = np.diff(offsets) > 0 if net is not None else np.zeros(rows, bool)
     names = net.langs if net is not None else [""]
-    allowed = np.array([languages is None or x in languages for x in names])
+    allowed = np.array([x != UNKNOWN and (languages is None or x in languages) for x in names])
     lang = pa.DictionaryArray.from_arrays(pa.array(best, mask=~some), pa.array(names, pa.string())).cast(pa.string())
     return lang, p, share, some & (p >= min_prob) & allowed[best]
 
@@ -237,7 +257,7 @@ def identify_languages(docs: DataFrame, net: Network | None, min_prob: float = M
 
     The network labels every byte of the whole text, windows of WINDOW bytes at a time; prob is the mean probability
     of the best language over all positions, label_share the share of positions whose own label it is. keep: prob is
-    min_prob at least and, if languages are given, the language is one of them.
+    min_prob at least, the label isn't UNKNOWN, and, if languages are given, it is one of them.
 
     Nulls: a null or empty text has a null lang_id, probability 0, and isn't kept; so has every text where there is no
     network. A null id is returned as null; repeated rows get equal answers; an empty table gives no rows.

@@ -49,6 +49,12 @@ def test_held_out_accuracy(spark, net):
     assert np.mean([got[i]["keep"] for i, _, _ in rows]) >= 0.97
 
 
+def test_what_is_no_language_goes(spark, net):
+    rows = [(0, "0123 4567, 89.10 - 11:12 / 2024 77 31415 9265 358979"), (1, "### $$$ %%% &&& ??? *** |||| ==== ----"), (2, "Добрый день всем кто читает этот текст сегодня"), (3, "qxzkv jwpqf zzxrt bvkqj wqzxp kjvbf xqzrw pvkjq"), (4, prose(random.Random(8), "fr", 30))]
+    got = {r["doc_id"]: r for r in langid.identify_languages(spark.createDataFrame(rows, "doc_id bigint, text string"), net).collect()}
+    assert [got[i]["keep"] for i in range(5)] == [False] * 4 + [True]
+
+
 def test_pooling_covers_every_byte(net):
     texts = [b"", b"x", "é".encode() * 70, b"ab" * 300]
     data = np.frombuffer(b"".join(texts), np.uint8)
