@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from sievewright.llm import langid, mixing, neardup, sharding
+from sievewright.llm import langid, mixing, sharding
 
 from .test_decontamination import brute
 from .test_neardup import brute_groups
