@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import bisect
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,15 +50,19 @@ def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_
     """
     plan = shard_plan(docs, n_shards, id_col, text_col)
     cuts = plan.where(F.col(id_col).isNotNull()).groupBy("shard_id").agg(F.min(id_col).alias("first")).orderBy("first").collect()
-    firsts, shards = [r["first"] for r in cuts], [r["shard_id"] for r in cuts]
+    shards = np.array([r["shard_id"] for r in cuts], np.int32)
+    firsts = np.array([r["first"] for r in cuts], np.int64 if cuts and isinstance(cuts[0]["first"], int) else object)
 
     @F.pandas_udf("int")
     def shard_of(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: 0 if pd.isna(x) or not firsts else shards[bisect.bisect_right(firsts, x) - 1]).astype("int32")
+        return pd.Series(shards[np.searchsorted(firsts, ids.to_numpy(), side="right") - 1])
 
     t = Columns(docs)
+    shard = F.lit(0)
+    if cuts:  # ids without nulls stay whole numbers on their way through pandas
+        shard = F.when(t(id_col).isNull(), 0).otherwise(shard_of(F.coalesce(t(id_col), F.lit(cuts[0]["first"]))))
     keep = [(i, o) for i, o in zip(t.inner, t.outer, strict=True) if o != "shard_id"]
-    cast = t.df.select(*[i for i, _ in keep], shard_of(t(id_col)).alias("shard_id"))
+    cast = t.df.select(*[i for i, _ in keep], shard.alias("shard_id"))
     return cast.toDF(*[o for _, o in keep], "shard_id")
 
 

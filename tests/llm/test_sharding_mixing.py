@@ -62,6 +62,19 @@ def test_assignment_follows_the_plan(corpus, docs, messy, empty_docs):
     assert sharding.shard_plan(empty_docs).count() == 0 and sharding.assign_shards(empty_docs).count() == 0
 
 
+def test_large_ids_and_names_as_ids(spark):
+    base = 1 << 60
+    rows = [(base + i, "x" * 10) for i in range(40)] + [(None, "y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {r[0]: r[4] for r in brute_plan(rows, 7)}
+    assert {r["doc_id"]: r["shard_id"] for r in sharding.assign_shards(df, 7).collect()} == want
+    named = spark.createDataFrame([(f"n{i:03}", "x" * 10) for i in range(40)], "doc_id string, text string")
+    plan = {r["doc_id"]: r["shard_id"] for r in sharding.shard_plan(named, 7).collect()}
+    assert {r["doc_id"]: r["shard_id"] for r in sharding.assign_shards(named, 7).collect()} == plan
+    nameless = df.where("doc_id is null")
+    assert [r["shard_id"] for r in sharding.assign_shards(nameless, 7).collect()] == [0]
+
+
 def test_sharding_sql(corpus, docs):
     names, rows = as_oracle(sharding.SHARDING_SQL, corpus, docs.columns)
     got = [tuple(r[c] for c in names) for r in sharding.shard_plan(docs).collect()]
