@@ -25,6 +25,8 @@ DEV_DOCS = 3000
 MINED_DOCS, MINED_ODDS = 8, 12.0
 #: Documents of each class of posterior labels that the classifier is trained on, and features (hash buckets).
 TRAIN_DOCS, BUCKETS = 3000, 1 << 18
+#: A feature is in so many of those documents.
+TRAIN_LEAST = 3
 PREFIXES = (6, 7, 8)
 CUTOFF = 0.5
 #: Votes: three general lexicons, three mined ones, and patterns over both.
@@ -252,10 +254,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF,
         rows = _texts_of(t, chosen, id_col, text_col).collect()
         if rows:
             parts = [(r, (f % np.uint64(BUCKETS)).astype(np.int32)) for r, f in presence([x["text"] for x in rows])]
-            kind = np.array([x["class"] for x in rows])
+            common = sum(np.bincount(f, minlength=BUCKETS) for _, f in parts) >= TRAIN_LEAST
+            parts = [(r[common[f]], f[common[f]]) for r, f in parts]
+            kind, target = np.array([x["class"] for x in rows]), np.array([x["posterior"] for x in rows])
+            rows = None  # the texts, before the arrays of the fit
             share = np.array([counts[(posterior >= 0.5) == bool(k)].sum() / max(1, (kind == k).sum()) for k in (0, 1)])
             share[1] = max(share[1], share[0])  # a rare toxic document counts for as much as a clean one
-            linear = fit_linear(np.concatenate([r for r, _ in parts]), np.concatenate([f for _, f in parts]), len(rows), np.array([x["posterior"] for x in rows]), share[kind])
+            linear = fit_linear(np.concatenate([r for r, _ in parts]), np.concatenate([f for _, f in parts]), len(kind), target, share[kind])
     shared = spark.sparkContext.broadcast(linear)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
