@@ -8,15 +8,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.llm.common import Columns, chunks, lowered, text_buffers, tokenise, write_table
+from sievewright.llm.common import Columns, chunks, lowered, mix64, small_side, text_buffers, tokenise, write_table
 
-#: Words that make up at least this share of all tokens are exchanged between classes; so they are at most 1 / SHARE,
-#: however large the corpus. All other words are in fixed classes by their endings.
-SHARE = 2e-5
+#: Words that occur at least this often are exchanged between classes, however many they are. Words that occur once,
+#: and words never seen, are in fixed classes by their endings.
+LEAST = 2
+#: Vocabularies of at most so many words are held in memory; beyond it the same steps run as joins.
+DRIVER_WORDS = 2_000_000
 CLASSES, ENDINGS = 64, 32
 ROUNDS = 6
 #: Absolute discount of class transitions.
@@ -34,7 +36,7 @@ def endings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """The frequent words: hashes in order, and the id of each. Ids: 0 a document's start, 1..V frequent words, then endings."""
+    """The exchanged words: hashes in order, and the id of each. Ids: 0 a document's start, 1..V words, then endings."""
 
     hashes: np.ndarray
     ids: np.ndarray
@@ -92,7 +94,7 @@ def bigram_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             data, offsets = text_buffers(batch.column(1))
             for i, j in chunks(offsets):
                 now, before, _ = _symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shared.value)
-                codes.append(before * size + now)
+                codes.append(before.astype(np.int64) * size + now)
                 if sum(map(len, codes)) >= _CODES:
                     yield counted()
         if codes:
@@ -118,42 +120,100 @@ def gains(m: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, self_n:
 
     right[j], left[j]: how often a word of class j follows, precedes it; self_n: how often it follows itself.
     """
-    m = m.copy()
-    m[own] -= right
-    m[:, own] -= left
-    m[own, own] += self_n
-    right, left = right.copy(), left.copy()
-    right[own] -= self_n
-    left[own] -= self_n
-    k = np.arange(classes)
-    rows, cols = m[:classes], m[:, :classes].T
-    new_rows, new_cols = rows + right, cols + left
-    row, col = _f(new_rows) - _f(rows), _f(new_cols) - _f(cols)
-    row[k, k] = _f(m[k, k] + right[k] + left[k] + self_n) - _f(m[k, k])
-    col[k, k] = 0
-    out_of, into = m.sum(axis=1)[:classes] + left[:classes], m.sum(axis=0)[:classes] + right[:classes]  # whatever class the word is in
-    to_right, to_left = right.sum() + self_n, left.sum() + self_n
-    total = row.sum(axis=1) + col.sum(axis=1) - (_f(out_of + to_right) - _f(out_of)) - (_f(into + to_left) - _f(into))
-    return total - total[own]
+    return many_gains(m, np.array([own]), np.asarray(right, float)[None], np.asarray(left, float)[None], np.array([self_n], float), classes)[0]
+
+
+def many_gains(m: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarray, self_n: np.ndarray, classes: int) -> np.ndarray:
+    """gains() of several words at once, a row each. Only the classes that occur beside a word are computed."""
+    each, k = np.arange(len(own)), np.arange(classes)
+    to_right, to_left = right.sum(axis=1), left.sum(axis=1)
+    new_right, new_left = right.copy(), left.copy()
+    new_right[each, own] -= self_n
+    new_left[each, own] -= self_n
+    total = np.zeros((len(own), classes))
+    for table, mine, other, new in ((m.T, right, left, new_right), (m, left, right, new_left)):
+        w, j = np.nonzero(new)
+        if not len(w):
+            continue
+        base, e = table[j, :classes].copy(), np.arange(len(w))  # without the word itself, wherever it is
+        base[e, own[w]] -= mine[w, j]
+        within = np.flatnonzero(j == own[w])
+        base[within] -= other[w[within], :classes]
+        base[within, j[within]] += self_n[w[within]]
+        change = _f(base + new[w, j][:, None]) - _f(base)
+        inner = np.flatnonzero(j < classes)
+        change[inner, j[inner]] = 0
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        total[w[first]] += np.add.reduceat(change, first)
+    both = np.repeat(np.diag(m)[None, :classes], len(own), axis=0)
+    both[each, own] -= right[each, own] + left[each, own] - self_n
+    total += _f(both + new_right[:, :classes] + new_left[:, :classes] + self_n[:, None]) - _f(both)
+    for margin, n in ((m.sum(axis=1), to_right), (m.sum(axis=0), to_left)):
+        rest = np.repeat(margin[None, :classes], len(own), axis=0)
+        rest[each, own] -= n
+        total -= _f(rest + n[:, None]) - _f(rest)
+    return total - total[each, own][:, None]
+
+
+def _counted(codes: list[np.ndarray], ns: list[np.ndarray], total: int) -> pa.RecordBatch:
+    code, at = np.unique(np.concatenate(codes), return_inverse=True)
+    n = np.bincount(at, np.concatenate(ns)).astype(np.int64)
+    codes.clear()
+    ns.clear()
+    word, rest = code // (3 * total), code % (3 * total)
+    return pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array((rest // total).astype(np.int32)), pa.array((rest % total).astype(np.int32)), pa.array(n)], names=["word", "side", "class", "n"])
+
+
+def _held_counts(bigrams: DataFrame, shared, vocabulary: int, total: int, parts: int, turn: int) -> DataFrame:
+    """_class_counts() of the words whose turn it is under classes that are an array; a row may come in pieces."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = shared.value[1]
+        codes: list[np.ndarray] = []
+        ns: list[np.ndarray] = []
+        for batch in batches:
+            a, b, n = (batch.column(k).to_numpy().astype(np.int64) for k in range(3))
+            for word, side, cls in ((a, 0, classes[b]), (b, 1, classes[a]), (np.where(a == b, a, 0), 2, 0)):
+                chosen = (word >= 1) & (word <= vocabulary) & (mix64(word.astype(np.uint64)) % np.uint64(parts) == turn % parts)
+                codes.append(((word * 3 + side) * total + cls)[chosen])
+                ns.append(n[chosen])
+            if sum(map(len, codes)) >= _CODES:
+                yield _counted(codes, ns, total)
+        if codes:
+            yield _counted(codes, ns, total)
+
+    return bigrams.select("a", "b", "n").mapInArrow(count, "word int, side int, class int, n bigint")
 
 
 def _class_counts(bigrams: DataFrame, table: DataFrame) -> DataFrame:
-    """(word, side, class, n) of the frequent words: class following (0), preceding (1), the word itself (2)."""
-    of = F.broadcast(table)  # at most 1 / SHARE words and the fixed classes
-    right = bigrams.join(of.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("word"), F.lit(0).alias("side"), "class").agg(F.sum("n").alias("n"))
-    left = bigrams.join(of.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("word"), F.lit(1).alias("side"), "class").agg(F.sum("n").alias("n"))
+    """(word, side, class, n) of the words: class following (0), preceding (1), the word itself (2)."""
+    right = bigrams.join(table.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("word"), F.lit(0).alias("side"), "class").agg(F.sum("n").alias("n"))
+    left = bigrams.join(table.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("word"), F.lit(1).alias("side"), "class").agg(F.sum("n").alias("n"))
     return right.unionByName(left).unionByName(bigrams.where("a = b").select(F.col("a").alias("word"), F.lit(2).alias("side"), F.lit(0).alias("class"), "n"))
 
 
-def _class_table(spark, classes: np.ndarray) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(classes), dtype=np.int32), "class": classes.astype(np.int32)}), "id int, class int")
+def _sized(table: DataFrame) -> DataFrame:
+    return small_side(table, F.lit(16))
+
+
+def _matrix(bigrams: DataFrame, classes: np.ndarray | DataFrame, total: int) -> np.ndarray:
+    """Class bigram counts under the class of each symbol, or a table (id, class) of them."""
+    if isinstance(classes, DataFrame):
+        rows = bigrams.join(classes.select(F.col("id").alias("a"), F.col("class").alias("x")), "a").join(classes.select(F.col("id").alias("b"), F.col("class").alias("y")), "b")
+    else:
+        shared = bigrams.sparkSession.sparkContext.broadcast(classes.astype(np.int16))
 
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, m = shared.value.astype(np.int64), np.zeros(total * total)
+            for batch in batches:
+                a, b, n = (batch.column(k).to_numpy() for k in range(3))
+                m += np.bincount(own[a] * total + own[b], n, total * total)
+            at = np.flatnonzero(m)
+            yield pa.RecordBatch.from_arrays([pa.array((at // total).astype(np.int32)), pa.array((at % total).astype(np.int32)), pa.array(m[at].astype(np.int64))], names=["x", "y", "n"])
 
-def _matrix(bigrams: DataFrame, classes: np.ndarray, total: int) -> np.ndarray:
-    table = F.broadcast(_class_table(bigrams.sparkSession, classes))
-    rows = bigrams.join(table.select(F.col("id").alias("a"), F.col("class").alias("x")), "a").join(table.select(F.col("id").alias("b"), F.col("class").alias("y")), "b").groupBy("x", "y").agg(F.sum("n").alias("n")).collect()  # classes squared at most
+        rows = bigrams.select("a", "b", "n").mapInArrow(count, "x int, y int, n bigint")
     m = np.zeros((total, total))
-    for r in rows:
+    for r in rows.groupBy("x", "y").agg(F.sum("n").alias("n")).collect():  # classes squared at most
         m[r["x"], r["y"]] = r["n"]
     return m
 
@@ -161,42 +221,57 @@ def _matrix(bigrams: DataFrame, classes: np.ndarray, total: int) -> np.ndarray:
 def _mover(shared, n_classes: int):
     def move(pdf: pd.DataFrame) -> pd.DataFrame:
         m, classes = shared.value
-        words, targets = [], []
-        for word, own in pdf.groupby("word"):
-            sides = np.zeros((3, len(m)))
-            np.add.at(sides, (own["side"].to_numpy(), own["class"].to_numpy()), own["n"].to_numpy())
-            gain = gains(m, int(classes[word]), sides[0], sides[1], sides[2, 0], n_classes)
-            words.append(word)
-            targets.append(int(gain.argmax()) if gain.max() > 1e-6 else int(classes[word]))
+        pdf = pdf.sort_values("word", kind="stable")
+        words, first, number = np.unique(pdf["word"].to_numpy(), return_index=True, return_inverse=True)
+        own = (pdf["own"].to_numpy()[first] if classes is None else classes[words]).astype(np.int64)
+        side, cls, n = (pdf[c].to_numpy() for c in ("side", "class", "n"))
+        ends, targets = np.append(first, len(pdf)), own.copy()
+        for i in range(0, len(words), 256):
+            j = min(i + 256, len(words))
+            at = slice(ends[i], ends[j])
+            sides = np.zeros((3, j - i, len(m)))
+            np.add.at(sides, (side[at], number[at] - i, cls[at]), n[at])
+            gain = many_gains(m, own[i:j], sides[0], sides[1], sides[2, :, 0], n_classes)
+            targets[i:j] = np.where(gain.max(axis=1) > 1e-6, gain.argmax(axis=1), own[i:j])
         return pd.DataFrame({"word": words, "target": targets}, dtype="int32")
 
     return move
 
 
-def exchange(bigrams: DataFrame, vocabulary: int, counts_order: np.ndarray, n_classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def exchange(bigrams: DataFrame, vocabulary: int, n_classes: int = CLASSES, rounds: int = ROUNDS, held: bool = True) -> tuple[np.ndarray | DataFrame, np.ndarray]:
     """(class of each symbol, class bigram counts): the exchange algorithm with half of the words moving in a round.
 
-    Words begin in classes by their rank of frequency. In each round every word of one half finds the class in which
-    the likelihood would be highest with all others where they are; a round that lowers the likelihood is undone and
-    its words move one fourth at a time. Starts and endings keep classes of their own, after the first n_classes.
+    Words begin in classes by their rank of frequency, which is their id. In each round every word of one half finds
+    the class in which the likelihood would be highest with all others where they are; a round that lowers the
+    likelihood is undone and its words move one fourth at a time. Starts and endings keep classes of their own, after
+    the first n_classes. Classes are an array if held, else a table (id, class).
     """
     spark = bigrams.sparkSession
     total = n_classes + 1 + ENDINGS
-    classes = np.empty(vocabulary + 1 + ENDINGS, np.int64)
-    classes[0] = n_classes
-    classes[counts_order] = np.arange(vocabulary) % n_classes
-    classes[vocabulary + 1 :] = n_classes + 1 + np.arange(ENDINGS)
+    if held:
+        classes = np.concatenate([[n_classes], np.arange(vocabulary) % n_classes, n_classes + 1 + np.arange(ENDINGS)]).astype(np.int16)
+    else:
+        first = F.when(F.col("id") == 0, n_classes).when(F.col("id") <= vocabulary, F.pmod(F.col("id") - 1, F.lit(n_classes))).otherwise(F.col("id") - vocabulary + n_classes)
+        classes = _sized(write_table(spark.range(vocabulary + 1 + ENDINGS).select(F.col("id").cast("int").alias("id")).withColumn("class", first.cast("int")), "lm-classes"))
     m = _matrix(bigrams, classes, total)
     best, parts, turn = objective(m), 2, 0
+    groups = max(64, -(-vocabulary // 8000))
     for _ in range(rounds if vocabulary else 0):
-        shared = spark.sparkContext.broadcast((m, classes))
-        chosen = F.pmod(F.xxhash64("word"), F.lit(parts)) == F.lit(turn % parts)
-        counts = _class_counts(bigrams, _class_table(spark, classes)).where(f"word between 1 and {vocabulary}").where(chosen)
-
-        moved = counts.withColumn("part", F.pmod("word", F.lit(64))).groupBy("part").applyInPandas(_mover(shared, n_classes), "word int, target int").collect()  # a row a frequent word
-        new = classes.copy()
-        for r in moved:
-            new[r["word"]] = r["target"]
+        shared = spark.sparkContext.broadcast((m, classes if held else None))
+        if held:
+            counts = _held_counts(bigrams, shared, vocabulary, total, parts, turn)
+        else:
+            mine = F.udf(lambda w, p=parts: int(mix64(np.array([w], np.uint64))[0] % np.uint64(p)), "int")
+            chosen = classes.where(f"id between 1 and {vocabulary}").select(F.col("id").alias("word"), F.col("class").alias("own")).where(mine("word") == turn % parts)
+            counts = _class_counts(bigrams, classes).join(chosen, "word")
+        moved = counts.withColumn("part", F.pmod("word", F.lit(groups))).groupBy("part").applyInPandas(_mover(shared, n_classes), "word int, target int")
+        if held:
+            to = moved.toArrow()  # a row a word
+            new = classes.copy()
+            new[to["word"].to_numpy()] = to["target"].to_numpy()
+        else:
+            moved = _sized(write_table(moved, "lm-moved")).withColumnRenamed("word", "id")
+            new = _sized(write_table(classes.join(moved, "id", "left").select("id", F.coalesce("target", "class").alias("class")), "lm-classes"))
         new_m = _matrix(bigrams, new, total)
         value = objective(new_m)
         if value > best:
@@ -220,6 +295,16 @@ class Model:
     emission: np.ndarray
 
 
+@dataclass
+class TableModel:
+    """A Model whose words are a table (word, class, emission); class and emission of the endings are arrays."""
+
+    words: DataFrame
+    classes: np.ndarray
+    transition: np.ndarray
+    emission: np.ndarray
+
+
 def transitions(m: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
     """Log transition probabilities, absolutely discounted and interpolated with the (add-half) class frequencies.
 
@@ -234,27 +319,80 @@ def transitions(m: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
     return np.log(np.maximum(p, 1e-300))
 
 
-def fit(docs: DataFrame, share: float = SHARE, n_classes: int = CLASSES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """The model of all texts of docs; None if they have no word."""
+def _ranked(words: DataFrame) -> DataFrame:
+    """(word, n, id) of words: ids from 1 on, by falling count, equal counts by hash."""
+    placed = write_table(words.orderBy(F.desc("n"), "word").select("word", "n", F.monotonically_increasing_id().alias("place")), "lm-ranked")
+    part = F.shiftright("place", 33)
+    sizes = sorted((r["part"], r["size"]) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("size")).collect())  # a row a partition
+    before = np.append(0, np.cumsum([n for _, n in sizes]))
+    offsets = words.sparkSession.createDataFrame([(p, int(o)) for (p, _), o in zip(sizes, before, strict=False)], "part bigint, before bigint")
+    rank = F.col("place") - F.shiftleft("part", 33) + F.col("before") + 1
+    return write_table(placed.withColumn("part", part).join(F.broadcast(offsets), "part").select("word", "n", rank.cast("int").alias("id")), "lm-vocabulary")
+
+
+def _words_of(docs: DataFrame, size: int, ranked: DataFrame) -> DataFrame:
+    """bigram_counts() for a vocabulary that is a table (word, id)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for i, j in chunks(offsets):
+                own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                words, rows, start, end = tokenise(own, at)
+                if not len(words):
+                    continue
+                ending = endings(own, start, end)
+                names, number = np.unique(words, return_inverse=True)
+                last = np.zeros(len(names), np.int64)
+                last[number] = ending
+                before = np.append(-1, number[:-1])
+                before[rows[:-1][rows[:-1] < rows[1:]]] = -1
+                code, n = np.unique((before + 1) * len(names) + number, return_counts=True)
+                a, b = code // len(names) - 1, code % len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(names[a].view(np.int64)), pa.array(np.where(a < 0, -1, last[a]).astype(np.int32)), pa.array(names[b].view(np.int64)), pa.array(last[b].astype(np.int32)), pa.array(n.astype(np.int64))], names=["wa", "ea", "wb", "eb", "n"])
+
+    counted = docs.mapInArrow(count, "wa bigint, ea int, wb bigint, eb int, n bigint")
+    of = _sized(ranked.select("word", "id"))
+    for side in "ab":
+        known = of.select(F.col("word").alias(f"w{side}"), F.col("id").alias(side))
+        symbol = F.when(F.col(f"e{side}") < 0, 0).otherwise(F.coalesce(side, F.lit(1 + size) + F.col(f"e{side}")))
+        kept = [c for c in counted.columns if c[1:] != side]
+        counted = counted.join(known, f"w{side}", "left").select(*kept, symbol.cast("int").alias(side))
+    return counted.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, share: float = 0.0, n_classes: int = CLASSES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, driver_words: int = DRIVER_WORDS) -> Model | TableModel | None:
+    """The model of all texts of docs; None if they have no word.
+
+    Words that occur `least` times (and make up `share` of all tokens) are exchanged and have emissions of their own.
+    """
     slim = Columns(docs).select(id=id_col, text=text_col)
     words = write_table(word_counts(slim), "lm-words")
     tokens = words.agg(F.sum("n").alias("n")).first()["n"]
     if not tokens:
         return None
-    is_frequent = F.col("n") >= F.lit(share * tokens)
-    frequent = sorted(((-r["n"], r["word"]) for r in words.where(is_frequent).collect()))  # at most 1 / share rows
-    hashes = np.array([w for _, w in frequent], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    vocabulary = Vocabulary(hashes[order], (1 + np.arange(len(hashes)))[order])
-    counts = np.array([-n for n, _ in frequent], float)
-    types = {r["ending"]: r["types"] for r in words.where(~is_frequent).groupBy("ending").agg(F.count("*").alias("types")).collect()}
-    bigrams = write_table(bigram_counts(slim, vocabulary), "lm-bigrams")
-    size = vocabulary.size
-    classes, m = exchange(bigrams, size, 1 + np.arange(size), n_classes, rounds)
-    in_class = np.bincount(classes[1 : size + 1], counts, n_classes) if size else np.zeros(n_classes)
+    is_frequent = F.col("n") >= F.lit(max(float(least), share * tokens))
+    ranked = _ranked(words.where(is_frequent))
+    size = ranked.count()
+    rare = {r["ending"]: r["types"] for r in words.where(~is_frequent).groupBy("ending").agg(F.count("*").alias("types")).collect()}
+    unseen = -np.log([rare.get(e, 0) + 1.0 for e in range(ENDINGS)])  # one more for words never seen
+    if size <= driver_words:
+        own = ranked.toArrow()
+        hashes, ids = own["word"].to_numpy().view(np.uint64), own["id"].to_numpy().astype(np.int32)
+        order = np.argsort(hashes)
+        vocabulary = Vocabulary(hashes[order], ids[order])
+        bigrams = write_table(bigram_counts(slim, vocabulary), "lm-bigrams")
+    else:
+        bigrams = write_table(_words_of(slim, size, ranked), "lm-bigrams")
+    classes, m = exchange(bigrams, size, n_classes, rounds, size <= driver_words)
+    in_class = m[:, :n_classes].sum(axis=0)  # each word follows a word or a start
+    if size > driver_words:
+        sums = F.array(*[F.lit(float(x)) for x in in_class])
+        emission = F.log(F.col("n") / F.element_at(sums, F.col("class") + 1))
+        return TableModel(write_table(ranked.join(classes, "id").select("word", "class", emission.alias("emission")), "lm-model"), n_classes + 1 + np.arange(ENDINGS), transitions(m), unseen)
     emission = np.zeros(size + 1 + ENDINGS)
-    emission[1 : size + 1] = np.log(counts / in_class[classes[1 : size + 1]])
-    emission[size + 1 :] = -np.log([types.get(e, 0) + 1.0 for e in range(ENDINGS)])  # one more for words never seen
+    emission[ids] = np.log(own["n"].to_numpy() / in_class[classes[ids]])
+    emission[size + 1 :] = unseen
     return Model(vocabulary, classes, transitions(m), emission)
 
 
@@ -265,17 +403,45 @@ def log_probabilities(model: Model, data: np.ndarray, offsets: np.ndarray) -> tu
     return n, np.bincount(np.repeat(np.arange(len(n)), n), each, len(n))
 
 
-def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _score_joined(slim: DataFrame, model: TableModel, names: list[str]) -> DataFrame:
+    """score_documents() with a row for each token, joined with the words of the model."""
+    keyed = write_table(slim.withColumn("key", F.monotonically_increasing_id()), "lm-keyed")
+    start = int(model.classes[0]) - 1
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            keys = batch.column(0).to_numpy()
+            for i, j in chunks(offsets):
+                own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                words, rows, first, end = tokenise(own, at)
+                n = np.diff(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[i:j], n)), pa.array(np.arange(len(words)) - np.repeat(rows[:-1], n)), pa.array(words.view(np.int64)), pa.array(endings(own, first, end).astype(np.int32))], names=["key", "at", "word", "ending"])
+
+    tokens = keyed.select("key", "text").mapInArrow(read, "key bigint, at bigint, word bigint, ending int")
+    unseen = F.element_at(F.array(*[F.lit(float(x)) for x in model.emission]), F.col("ending") + 1)
+    known = tokens.join(small_side(model.words, F.lit(24)), "word", "left").select("key", "at", F.coalesce("class", F.lit(start + 1) + F.col("ending")).alias("class"), F.coalesce("emission", unseen).alias("emission"))
+    before = F.coalesce(F.lag("class").over(Window.partitionBy("key").orderBy("at")), F.lit(start))
+    size = len(model.transition)
+    steps = slim.sparkSession.createDataFrame([(i, j, float(model.transition[i, j])) for i in range(size) for j in range(size)], "before int, class int, step double")
+    scores = known.withColumn("before", before).join(F.broadcast(steps), ["before", "class"]).groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("step") + F.col("emission")).alias("log"))
+    n, log = F.coalesce("n", F.lit(0).cast("bigint")), F.coalesce("log", F.lit(0.0))
+    return keyed.join(scores, "key", "left").select("id", n.alias(names[1]), log.alias(names[2]), F.expr("case when n > 0 then exp(least(-log / n, 700D)) end").alias(names[3])).toDF(*names)
+
+
+def score_documents(docs: DataFrame, model: Model | TableModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity) of every row under the model.
 
-    P(word | word before) = P(class | class before) P(word | class). Frequent words have classes by exchange and
-    emissions by their counts; the others have classes by their endings, whose words are taken as equally likely.
+    P(word | word before) = P(class | class before) P(word | class). Words seen twice or more have classes by exchange
+    and emissions by their counts; the others (seen once or never) have classes by their endings, equally likely within.
     Perplexity is exp(-log_prob / n_tokens). The text is read whole, as one sequence.
 
     Nulls: a null or wordless text has no tokens, log_prob 0 and a null perplexity; without a model so has every row.
     Null ids are returned; repeated rows get equal scores (each counts in the model); an empty table gives no rows.
     """
     slim = Columns(docs).select(id=id_col, text=text_col)
+    if isinstance(model, TableModel):
+        return _score_joined(slim, model, [id_col, "n_tokens", "log_prob", "perplexity"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField(id_col, slim.schema[0].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
 

@@ -104,3 +104,34 @@ def test_messy_and_empty(messy, empty_docs, fitted):
     assert brown.fit(empty_docs) is None
     assert brown.score_documents(empty_docs, fitted).count() == 0
     assert all(r["perplexity"] is None for r in brown.score_documents(messy, None).collect())
+
+
+def test_every_repeated_word_is_clustered_and_counted(spark, corpus, docs):
+    text = " ".join(f"common{i % 50}" for i in range(200_000)) + " seldom seldom seldom twice twice once"
+    df = spark.createDataFrame([(0, text)], "doc_id bigint, text string")
+    model = brown.fit(df, n_classes=4, rounds=2)
+
+    def symbol(w):
+        b = np.frombuffer(w.encode(), np.uint8)
+        h, _, s, e = brown.tokenise(b, np.array([0, len(b)]))
+        return int(model.vocabulary.symbols(h, brown.endings(b, s, e))[0])
+
+    assert model.vocabulary.size == 52 and symbol("once") > 52
+    for w, n in (("seldom", 3), ("twice", 2)):
+        s = symbol(w)
+        assert s <= 52 and model.classes[s] < 4
+        peers = [x for x in [f"common{i}" for i in range(50)] + ["seldom", "twice"] if model.classes[symbol(x)] == model.classes[s]]
+        total = sum({"seldom": 3, "twice": 2}.get(x, 4000) for x in peers)
+        assert np.isclose(model.emission[s], math.log(n / total))
+    words = Counter(w for _, t, *_ in corpus for w in re.findall(r"[0-9a-z\u0080-￿]+", t.lower()))
+    assert brown.fit(docs, n_classes=4, rounds=0).vocabulary.size == sum(n >= 2 for n in words.values())
+
+
+def test_both_ways_of_fitting_and_scoring(docs, messy):
+    for df in (docs, messy):
+        one, other = (brown.score_documents(df, brown.fit(df, n_classes=8, rounds=2, driver_words=n)) for n in (brown.DRIVER_WORDS, 0))
+        assert one.columns == other.columns
+        one, other = (sorted(map(tuple, x.collect()), key=lambda r: (repr(r[0]), r[1], r[2])) for x in (one, other))
+        assert [r[:2] for r in one] == [r[:2] for r in other]
+        for x, y in zip(one, other, strict=True):
+            assert np.isclose(x[2], y[2]) and (x[3] is None) == (y[3] is None) and (x[3] is None or np.isclose(x[3], y[3]))
