@@ -1,9 +1,13 @@
 import gzip
+import json
 import re
+import time
 
 import duckdb
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sievewright.llm import html, warc
@@ -89,7 +93,74 @@ def test_extraction_against_the_pages(pages):
     for r in pages.where("page_id < 100").collect():
         assert got[r["page_id"]]["text"] == by_hand(r["html"], {"Fixed words"})
     assert got[200]["text"].startswith("Fixed words\nTitle 9")  # one page can't tell what is constant
-    assert got[100]["n_fields"] == 0 or "Title 0" not in got[100]["text"]  # equal on all pages of the host: template
+    copies = pages.where("page_id = 100").collect()[0]["html"]  # a host whose pages are all alike tells no constant text
+    assert all(got[100 + i]["text"] == "Fixed words\n" + by_hand(copies, set()) for i in range(3))
+
+
+def test_texts_that_only_copies_have_are_content(spark):
+    rows = [(i, f"http://a/{i}", f"<p>fixed</p><h1>t{i}</h1>") for i in range(4)] + [(10 + i, f"http://a/x{i}", "<p>fixed</p><h1>tx</h1><div class=extra>once</div>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {**{i: f"t{i}" for i in range(4)}, **{10 + i: "tx\nonce" for i in range(3)}}
+
+
+@pytest.mark.parametrize("bad", ["<a" * 500_000, "<" * 1_000_000, "<script " * 130_000, "<!-- " * 200_000, "<a " + " " * 1_000_000, "<b>a</b><i>c</i>" * 60_000])
+def test_malformed_pages_take_linear_time(bad):
+    began = time.process_time()
+    tree = html.parse(bad)
+    assert time.process_time() - began < 4  # well under a second on a machine of its own
+    template = html.template_of(tree)
+    assert len(html.match(tree, template)) == {"<a<": 500_000, "<a ": 1, "<b>": 120_000}.get(bad[:3], 0)
+    assert time.process_time() - began < 30
+
+
+def test_deep_pages_keep_their_texts():
+    tree = html.parse("".join(f"<div>{i} " for i in range(3000)))
+    assert [node[1] for _, node in html.match(tree, html.template_of(tree))] == [str(i) for i in range(3000)]
+    assert html.infer([json.dumps(html.template_of(tree))] * 2)
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=26))
+@settings(max_examples=300, deadline=None)
+def test_shortest_repeated_runs(syms):
+    want = {}
+    for i in range(len(syms)):
+        for k in range(2, len(syms) // 2 + 1):
+            if len(set(syms[i : i + k])) > 1 and len(syms[i : i + k]) == k and syms[i + k : i + 2 * k] == syms[i : i + k]:
+                want[i] = k
+                break
+    assert html._periods(syms) == want
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=30), st.lists(st.sampled_from("abcd"), max_size=30))
+@settings(max_examples=100, deadline=None)
+def test_alignment_table(a, b):
+    table = html._Common([[[c]] for c in a], [[[c]] for c in b])
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    assert [list(table[i]) for i in range(len(a) + 1)] == best
+
+
+def test_long_groups_repeat():
+    unit = "".join(f"<{t}>x</{t}>" for t in ("a", "b", "i", "u", "s", "q"))
+    assert html.expression(html.template_of(html.parse(unit * 3 + "<hr>"))) == "(<a>#</a><b>#</b><i>#</i><u>#</u><s>#</s><q>#</q>)+<hr></hr>"
+
+
+def test_a_large_host_is_folded_in_rounds(spark):
+    kinds = "a b i u s q em h1 h2 h3".split()
+    rows = [(m, f"http://h/{m}", "".join(f"<{k}>{m}</{k}>" for i, k in enumerate(kinds) if m >> i & 1)) for m in range(100)]
+    df = spark.createDataFrame(rows, PAGES)
+    parsed = html._parsed(df, "page_id", "url", "html").select("host", "template")
+    assert html._wrappers(parsed, 16).count() == 1
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(df).collect()}
+    assert got == {m: "\n".join([str(m)] * bin(m).count("1")) for m in range(100)}
+
+
+def test_wrappers_of_odd_pages(odd_pages, spark):
+    got = {r["host"]: r["expression"] for r in html.page_wrappers(odd_pages).collect()}
+    assert set(got) == {"", "a"} and got["a"].startswith("(<p>(#)+</p>)*(#)*(<b>#</b>)?(<div>")
+    assert html.page_wrappers(spark.createDataFrame([], PAGES)).count() == 0
 
 
 def test_order_of_pages_does_not_matter(pages):
