@@ -123,8 +123,25 @@ def prefix_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: tu
         yield live, mix64(h[live] + np.uint64(p))
 
 
+def _split_unspaced(low: np.ndarray, word: np.ndarray, begins: np.ndarray) -> None:
+    """In place: characters of U+3000 to U+9FFF, Thai, Lao, Burmese and Khmer are words of their own; what lies from
+    U+3000 to U+303F is none."""
+    at = np.flatnonzero((low >= 0xE0) & (low <= 0xE9))
+    at = at[at + 2 < len(low)]
+    lead, second = low[at], low[at + 1]
+    own = (lead >= 0xE3) | ((lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB)) | ((lead == 0xE1) & ((second <= 0x82) | (second == 0x9E) | (second == 0x9F)))
+    sign = at[(lead == 0xE3) & (second == 0x80)]
+    at = at[own]
+    for k in range(3):
+        word[sign + k] = False
+    begins[at] = word[at]
+    after = at[at + 3 < len(low)] + 3
+    begins[after] = word[after]
+    begins[sign] = False
+
+
 def tokenise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words as maximal runs of letters and digits, in lower case.
+    """Words as maximal runs of letters and digits, in lower case; in scripts written without spaces, each character.
 
     Returns (hash of each word, first token of each row (rows + 1), first byte, end byte of each word).
     """
@@ -137,6 +154,8 @@ def tokenise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     begins[1:] &= ~word[:-1]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
     begins[first] = word[first]  # a row begins a word even where the row before ends in one
+    if low.max() >= 0xE0:
+        _split_unspaced(low, word, begins)
     start = np.flatnonzero(begins)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), start, start
