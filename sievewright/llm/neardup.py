@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from sievewright.llm.common import Columns, chunks, mix64, text_buffers, text_digest, tokenise, write_table
 
-#: Words in a k-mer, k-mers in a sketch, sketches of a document; edit similarity (in words) from which texts are near.
-K, ELL, SKETCHES, THRESHOLD = 3, 3, 48, 0.8
-#: Texts of up to SHORT_MOST words also, and of fewer than SHORT_LEAST words only, have sketches of single words.
-SHORT_LEAST, SHORT_MOST = 16, 20
+#: Edit similarity (in words) from which texts are near.
+THRESHOLD = 0.8
+#: Families of sketches: (words in a k-mer, k-mers in a sketch, sketches, least and most words of a text that has them).
+#: The ranges overlap by more than the threshold lets lengths differ, so any two near texts have a family in common.
+FAMILIES = ((1, 4, 48, 1, 48), (3, 3, 24, 38, None), (1, 6, 40, 38, None))
+#: Counters of words (by hash) that order words by rarity.
+COUNTERS = 1 << 18
 
 _rng = np.random.default_rng(97)
 _MULTIPLY = _rng.integers(1, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
@@ -47,7 +50,7 @@ def labelled_kmers(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndar
     return mix64(h + occurrence * _GOLD), out
 
 
-def order_sketches(x: np.ndarray, sketches: int = SKETCHES, ell: int = ELL) -> np.ndarray:
+def order_sketches(x: np.ndarray, sketches: int, ell: int) -> np.ndarray:
     """Of one document's labelled k-mers, for each sketch: the ell smallest under its hash, in text order, as one hash."""
     ell = min(ell, len(x))
     picked = np.empty((sketches, ell), np.int64)
@@ -67,21 +70,39 @@ def order_sketches(x: np.ndarray, sketches: int = SKETCHES, ell: int = ELL) -> n
     return sig
 
 
-def sketch_texts(data: np.ndarray, offsets: np.ndarray, sketches: int = SKETCHES) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Words of each row, and its sketches (of k-mers, of single words, or both)."""
+def sketch_texts(data: np.ndarray, offsets: np.ndarray, families: tuple = FAMILIES) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Words of each row, and its sketches."""
     words, rows, _, _ = tokenise(data, offsets)
     n = np.diff(rows)
     out: list[list[np.ndarray]] = [[] for _ in n]
-    long, at = labelled_kmers(words, rows, K)
-    for i in np.flatnonzero(n >= SHORT_LEAST):
-        out[i].append(order_sketches(long[at[i] : at[i + 1]], sketches))
-    short = np.flatnonzero((n <= SHORT_MOST) & (n > 0))
-    for i in short:
-        single, _ = labelled_kmers(words[rows[i] : rows[i + 1]], np.array([0, n[i]]), 1)
-        out[i].append(mix64(order_sketches(single, sketches) + np.uint64(1)))
+    made = {k: labelled_kmers(words, rows, k) for k in {f[0] for f in families}}
+    for number, (k, ell, sketches, least, most) in enumerate(families):
+        x, at = made[k]
+        for i in np.flatnonzero((n >= least) & (n <= (most or n.max(initial=0)))):
+            out[i].append(mix64(order_sketches(x[at[i] : at[i + 1]], sketches, ell) + np.uint64(number)))
     return n, [np.concatenate(s) if s else np.zeros(0, np.uint64) for s in out]
 
 
+# ---------------------------------------------------------------- rare words
+
+
+def labelled_words(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Hashes of (word, how often it occurred before in the row), in text order."""
+    return labelled_kmers(words, rows, 1)[0]
+
+
+def rarest(x: np.ndarray, counters: np.ndarray, threshold: float) -> np.ndarray:
+    """Of one text's labelled words, so many of the rarest that any near text has one of them among its own rarest.
+
+    Of n words a near text lacks at most a share 1 - threshold; so two near texts, both in the same order of rarity,
+    have a word in common among the first (1 - threshold) n + 1. Words whose counter says that no other text has them
+    join nothing and are left out.
+    """
+    count = counters[(x % np.uint64(len(counters))).astype(np.int64)]
+    first = np.lexsort((x, count))[: int((1 - threshold) * len(x) + 1e-9) + 1]
+    return x[first[count[first] > 1]]
+
+
 # ---------------------------------------------------------------- alignment
 
 
@@ -205,13 +226,54 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(align, "a binary, b binary, near boolean")
 
 
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD, sketches: int = SKETCHES, text_col: str = "text") -> DataFrame:
+def _token_counts(texts: DataFrame) -> np.ndarray:
+    """In how many of the texts (node, text) a labelled word occurs, by hash; at most COUNTERS rows reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            for i, j in chunks(offsets):
+                words, rows, _, _ = tokenise(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                total += np.bincount((labelled_words(words, rows) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["counter", "n"])
+
+    found = texts.select("text").mapInArrow(count, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found["counter"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _rare_words(texts: DataFrame, threshold: float) -> DataFrame:
+    """(node, word) of the rarest() words of texts (node, text)."""
+    shared = texts.sparkSession.sparkContext.broadcast(_token_counts(texts))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for i, j in chunks(offsets):
+                words, rows, _, _ = tokenise(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                x = labelled_words(words, rows)
+                own = [rarest(x[a:b], shared.value, threshold) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+                row = np.repeat(np.arange(len(own)), [len(o) for o in own])
+                flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + i)), pa.array(flat.view(np.int64))], names=["node", "word"])
+
+    return texts.select("node", "text").mapInArrow(pick, "node binary, word bigint")
+
+
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, families: tuple = FAMILIES, text_col: str = "text") -> DataFrame:
     """(node, root): digests of texts that are not alone in their group of near duplicates, and the group's name.
 
     Equal texts share a digest and count once. Texts with an equal sketch are candidates. In each bucket of an equal
-    sketch every text is aligned with the bucket's smallest one; those that are not near it are then aligned with all
-    others of the bucket. A pair is thus either aligned or already joined through the smallest, however large the
-    bucket. Groups are the connected components of near pairs.
+    sketch every text is aligned with the bucket's smallest one. Those that are not near it are then aligned with the
+    others of the bucket that share one of their rarest words, as any near one must: so all near pairs of a bucket are
+    aligned or already joined through the smallest, while texts that have only a template in common, however many,
+    aren't aligned with each other. Groups are the connected components of near pairs.
+
+    Null texts have no node; texts without words have no sketch and are alone. An empty table gives no rows. Other
+    columns are ignored, whatever their names.
     """
     base = Columns(docs).select(text=text_col).where("text is not null").select(text_digest(F.col("text")).alias("node"), "text")
 
@@ -219,16 +281,15 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, sketches: int = S
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j in chunks(offsets, 1 << 21):
-                n, sigs = sketch_texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sketches)
+                n, sigs = sketch_texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], families)
                 each = np.array([len(s) for s in sigs], dtype=np.int64)
                 row = np.repeat(np.arange(len(sigs)), each)
                 flat = np.concatenate(sigs) if len(sigs) else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column(0).take(pa.array(row + i)), pa.array(n[row].astype(np.int32))], names=["sig", "node", "words"])
 
-    sigs = base.mapInArrow(sketch, "sig bigint, node binary, words int")
-    bucket = Window.partitionBy("sig")
-    least = F.min(F.struct("node", "words")).over(bucket)
-    stars = sigs.withColumn("least", least).where("node <> least.node").select("sig", F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.words").alias("words_a"), F.col("words").alias("words_b"))
+    sigs = write_table(base.mapInArrow(sketch, "sig bigint, node binary, words int"), "near-sketches")
+    least = sigs.groupBy("sig").agg(F.min(F.struct("node", "words")).alias("least"), F.max("node").alias("most")).where("least.node <> most").select("sig", "least")
+    stars = sigs.join(least, "sig").where("node <> least.node").select("sig", F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.words").alias("words_a"), F.col("words").alias("words_b"))
     stars = write_table(stars.dropDuplicates(["sig", "b"]), "near-stars")
     fits = F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * F.lit(threshold) - F.lit(1e-6)
     pairs = write_table(stars.groupBy("a", "b").agg(F.first("words_a").alias("words_a"), F.first("words_b").alias("words_b")), "near-pairs")
@@ -237,15 +298,20 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, sketches: int = S
     first = write_table(_verify(pairs.where(fits).select("a", "b"), texts, threshold), "near-first")
     good = first.where("near").select("a", "b")
     failed = pairs.select("a", "b").join(good, ["a", "b"], "left_anti")
-    again = stars.join(failed, ["a", "b"]).select("sig", F.col("b").alias("x"), F.col("words_b").alias("words_x"))
-    others = again.join(stars.select("sig", F.col("b").alias("y"), F.col("words_b").alias("words_y")), "sig").where("x <> y")
+    again = write_table(stars.join(failed, ["a", "b"]).select("sig", F.col("b").alias("x"), F.col("words_b").alias("words_x")), "near-again")
+    met = write_table(again.select("sig").distinct().join(stars, "sig").select("sig", F.col("b").alias("y"), F.col("words_b").alias("words_y")), "near-met")
+    members = texts.join(met.select(F.col("y").alias("node")).distinct(), "node", "left_semi")
+    rare = write_table(_rare_words(members, threshold), "near-rare")
+    left = again.join(rare.withColumnRenamed("node", "x"), "x")
+    right = met.join(rare.withColumnRenamed("node", "y"), "y")
     fits = F.least("words_x", "words_y") >= F.greatest("words_x", "words_y") * F.lit(threshold) - F.lit(1e-6)
-    second = others.where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    others = left.join(right, ["sig", "word"]).where("x <> y").where(fits)
+    second = others.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     more = write_table(_verify(second, texts, threshold).where("near").select("a", "b"), "near-second")
     return components(good.union(more), "near-roots")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, sketches: int = SKETCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, families: tuple = FAMILIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, group_id, keep) for every row that has at least one exact or near copy.
 
     group_id is the smallest id of the group; keep marks the one row that stays. Two texts are near if the edit
@@ -257,7 +323,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, sketches: int
     """
     t = Columns(docs)
     rows = t.select(id=id_col, text=text_col).where("text is not null").select("id", text_digest(F.col("text")).alias("node"))
-    roots = near_groups(docs, threshold, sketches, text_col)
+    roots = near_groups(docs, threshold, families, text_col)
     rooted = rows.join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
     order = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "node")
     group = Window.partitionBy("root")
@@ -265,14 +331,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, sketches: int
     return out.where("size > 1").select(F.col("id").alias(id_col), "group_id", (F.col("n") == 1).alias("keep"))
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, sketches: int = SKETCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, families: tuple = FAMILIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs less all but one of each group of near_duplicates(), with the columns of docs.
 
     The row that stays is the one with the smallest id (nulls last); of rows that repeat that id and text, any one.
     Rows with a null text all stay.
     """
     t = Columns(docs)
-    roots = near_groups(docs, threshold, sketches, text_col)
+    roots = near_groups(docs, threshold, families, text_col)
     node = text_digest(t(text_col))
     ids = t.df.where(t(text_col).isNotNull()).select(t(id_col).alias("id"), node.alias("node")).groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id")).alias("least"))
     rooted = ids.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
