@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -20,23 +21,42 @@ LEAST = 2
 #: Vocabularies of at most so many words are held in memory; beyond it the same steps run as joins.
 DRIVER_WORDS = 2_000_000
 CLASSES, ENDINGS = 64, 32
-ROUNDS = 6
+#: The exchange ends when a pass over all words raises the log likelihood by less than this, a token.
+TOLERANCE = 0.02
 #: Absolute discount of class transitions.
 DISCOUNT = 0.5
 _CODES = 1 << 22
+#: Neighbours of words that are gathered in one task, about; words and neighbours of a row of the table of neighbours.
+_PART, _BLOCK_WORDS, _BLOCK = 4_000_000, 4096, 400_000
 
 
 def endings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The fixed class of each word: 0 with a digit at the end, else by its last two bytes."""
-    low = lowered(data)
-    last = low[end - 1].astype(np.int64) if len(end) else np.zeros(0, np.int64)
-    before = np.where(end - start > 1, low[np.maximum(end - 2, 0)], 0).astype(np.int64) if len(end) else last
-    return np.where((last >= 48) & (last <= 57), 0, 1 + (last * 31 + before) % (ENDINGS - 1))
+    if not len(end):
+        return np.zeros(0, np.uint64)
+    last = data[end - 1].astype(np.uint16)
+    before = np.where(end - start > 1, data[np.maximum(end - 2, 0)], 0)
+    return _ENDING[(last << 8) | before]
+
+
+def _ending_table() -> np.ndarray:
+    low = lowered(np.arange(256, dtype=np.uint8)).astype(np.int64)
+    last, before = low[:, None], low[None, :]
+    return np.where((last >= 48) & (last <= 57), 0, 1 + (last * 31 + before) % (ENDINGS - 1)).astype(np.uint64).ravel()
+
+
+_ENDING = _ending_table()
+
+
+def named_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name of each word, first word of each row): the hash of the word, with its ending in the lowest bits."""
+    words, rows, start, end = tokenise(data, offsets)
+    return words & ~np.uint64(ENDINGS - 1) | endings(data, start, end), rows
 
 
 @dataclass
 class Vocabulary:
-    """The exchanged words: hashes in order, and the id of each. Ids: 0 a document's start, 1..V words, then endings."""
+    """The exchanged words: names in order, and the id of each. Ids: 0 a document's start, 1..V words, then endings."""
 
     hashes: np.ndarray
     ids: np.ndarray
@@ -45,62 +65,150 @@ class Vocabulary:
     def size(self) -> int:
         return len(self.hashes)
 
-    def symbols(self, words: np.ndarray, ending: np.ndarray) -> np.ndarray:
-        rare = 1 + self.size + ending
+    @cached_property
+    def index(self) -> tuple[np.uint64, np.ndarray]:
+        """(shift, first): where the hashes with each value of their leading bits begin."""
+        bits = max(1, int(self.size).bit_length() + 1)
+        shift = np.uint64(64 - bits)
+        counts = np.bincount((self.hashes >> shift).astype(np.int64), minlength=1 << bits)
+        return shift, np.append(0, np.cumsum(counts)).astype(np.int32)
+
+    def symbols(self, words: np.ndarray) -> np.ndarray:
+        out = ((words & np.uint64(ENDINGS - 1)) + np.uint64(1 + self.size)).astype(np.int32)
         if not self.size:
-            return rare
-        at = np.minimum(np.searchsorted(self.hashes, words), self.size - 1)
-        return np.where(self.hashes[at] == words, self.ids[at], rare)
+            return out
+        shift, first = self.index
+        lead = (words >> shift).astype(np.int32)
+        at = np.minimum(first[lead], self.size - 1)
+        hit = self.hashes[at] == words  # most are where their leading bits say
+        np.copyto(out, self.ids[at], where=hit)
+        live = np.flatnonzero(~hit)
+        at, stop = first[lead[live]] + 1, first[lead[live] + 1]
+        on = at < stop
+        live, at, stop = live[on], at[on], stop[on]
+        while len(live):
+            same = self.hashes[at] == words[live]
+            out[live[same]] = self.ids[at[same]]
+            on = ~same & (at + 1 < stop)
+            live, at, stop = live[on], at[on] + 1, stop[on]
+        return out
 
 
 def _symbols(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbol of each token, of the one before it, tokens of each row)."""
-    words, rows, start, end = tokenise(data, offsets)
-    now = vocabulary.symbols(words, endings(data, start, end))
-    before = np.append(0, now[:-1])[: len(now)]
+    words, rows = named_words(data, offsets)
+    now = vocabulary.symbols(words)
+    before = np.append(np.int32(0), now[:-1])[: len(now)]
     before[rows[:-1][rows[:-1] < rows[1:]]] = 0
     return now, before, np.diff(rows)
 
 
+def _counted(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, in order, and how often each occurs; empties the list."""
+    code = np.concatenate(codes)
+    codes.clear()
+    code.sort()
+    new = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    return code[new], np.diff(np.append(new, len(code)))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, ending, n) of every word of docs (id, text): its hash, fixed class and count."""
+    """(word, ending, n) of every word of docs (id, text): its name, fixed class and count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            names, n = _counted(codes)
+            return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j in chunks(offsets):
-                own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                words, _, start, end = tokenise(own, at)
-                names, first, n = np.unique(words, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(endings(own, start, end)[first].astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "ending", "n"])
+                codes.append(named_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0])
+                if sum(map(len, codes)) >= _CODES:
+                    yield counted()
+        if codes:
+            yield counted()
+
+    counts = docs.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return counts.select("word", F.expr(f"cast(word & {ENDINGS - 1} as int)").alias("ending"), "n")
+
+
+NEIGHBOURS = "word binary, right_each binary, right binary, right_n binary, left_each binary, left binary, left_n binary"
 
-    return docs.mapInArrow(count, "word bigint, ending int, n bigint").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
+def _ints(x) -> np.ndarray:
+    return np.frombuffer(x.as_buffer() if isinstance(x, pa.Scalar) else x, np.int32)
 
-def bigram_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(a, b, n): how often symbol b follows symbol a."""
+
+def _pairs_of(part: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, parts: int, side: int) -> Iterator[tuple[int, int, bytes]]:
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=parts))
+    rows = np.stack([a[order], b[order], n[order]]).astype(np.int32)
+    for p in np.flatnonzero(np.diff(ends, prepend=0)):
+        yield int(p), side, np.ascontiguousarray(rows[:, (ends[p - 1] if p else 0) : ends[p]]).tobytes()
+
+
+def _merged(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, neighbour, n), each pair once, by word."""
+    if not len(data):
+        return (np.zeros(0, np.int64),) * 3
+    word, other, n = np.concatenate([_ints(x).reshape(3, -1) for x in data], axis=1).astype(np.int64)
+    code = word << 32 | other
+    order = np.argsort(code)
+    code = code[order]
+    new = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    return code[new] >> 32, code[new] & 0xFFFFFFFF, np.add.reduceat(n[order], new) if len(new) else n
+
+
+def neighbours(docs: DataFrame, vocabulary: Vocabulary, tokens: int) -> DataFrame:
+    """NEIGHBOURS: blocks of symbols with what follows (right) and precedes them (left) and how often, as arrays.
+
+    Every task counts its pairs of symbols and sends them, packed, to the part of either symbol; so a row of the
+    shuffle is thousands of pairs.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    parts = max(16, -(-2 * tokens // _PART))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = shared.value.size + 1 + ENDINGS
         codes: list[np.ndarray] = []
 
         def counted() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            codes.clear()
-            return pa.RecordBatch.from_arrays([pa.array((code // size).astype(np.int32)), pa.array((code % size).astype(np.int32)), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
+            code, n = _counted(codes)
+            a, b = np.divmod(code, size)
+            rows = [r for side, x, y in ((0, a, b), (1, b, a)) for r in _pairs_of((mix64(x.astype(np.uint64)) % np.uint64(parts)).astype(np.int64), x, y, n, parts, side)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "side", "data"])
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j in chunks(offsets):
                 now, before, _ = _symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shared.value)
-                codes.append(before.astype(np.int64) * size + now)
+                if len(now):
+                    codes.append(before.astype(np.int64) * size + now)
                 if sum(map(len, codes)) >= _CODES:
                     yield counted()
         if codes:
             yield counted()
 
-    return docs.mapInArrow(count, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [_merged(pdf["data"][pdf["side"] == side].tolist()) for side in (0, 1)]
+        words = np.union1d(sides[0][0], sides[1][0])
+        each = [np.bincount(np.searchsorted(words, w), minlength=len(words)) for w, _, _ in sides]
+        ends = [np.append(0, np.cumsum(e)) for e in each]
+        load = ends[0] + ends[1]
+        out, i = [], 0
+        while i < len(words):
+            j = min(i + _BLOCK_WORDS, max(i + 1, int(np.searchsorted(load, load[i] + _BLOCK, side="right")) - 1))
+            row = [words[i:j]]
+            for (_, other, n), e, end in zip(sides, each, ends, strict=True):
+                row += [e[i:j], other[end[i] : end[j]], n[end[i] : end[j]]]
+            out.append([x.astype(np.int32).tobytes() for x in row])
+            i = j
+        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in NEIGHBOURS.split(", ")])
+
+    return docs.mapInArrow(count, "part int, side int, data binary").groupBy("part").applyInPandas(gather, NEIGHBOURS)
 
 
 # ---------------------------------------------------------------- exchange
@@ -115,74 +223,147 @@ def objective(m: np.ndarray) -> float:
     return float(_f(m).sum() - _f(m.sum(axis=0)).sum() - _f(m.sum(axis=1)).sum())
 
 
-def gains(m: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, self_n: float, classes: int) -> np.ndarray:
-    """For each of the first `classes` classes, what the objective gains if a word of class `own` moves there.
+#: Counts up to this have the changes they cause made beforehand.
+_SMALL = 16
+
 
-    right[j], left[j]: how often a word of class j follows, precedes it; self_n: how often it follows itself.
+class Gains:
+    """What the objective gains when words move to each of the first `classes` classes, all others staying.
+
+    m: the class bigram counts. f(x + n) - f(x) is looked up for small n, which is nearly all of a rare word's.
     """
-    return many_gains(m, np.array([own]), np.asarray(right, float)[None], np.asarray(left, float)[None], np.array([self_n], float), classes)[0]
-
-
-def many_gains(m: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarray, self_n: np.ndarray, classes: int) -> np.ndarray:
-    """gains() of several words at once, a row each. Only the classes that occur beside a word are computed."""
-    each, k = np.arange(len(own)), np.arange(classes)
-    to_right, to_left = right.sum(axis=1), left.sum(axis=1)
-    new_right, new_left = right.copy(), left.copy()
-    new_right[each, own] -= self_n
-    new_left[each, own] -= self_n
-    total = np.zeros((len(own), classes))
-    for table, mine, other, new in ((m.T, right, left, new_right), (m, left, right, new_left)):
-        w, j = np.nonzero(new)
-        if not len(w):
-            continue
-        base, e = table[j, :classes].copy(), np.arange(len(w))  # without the word itself, wherever it is
-        base[e, own[w]] -= mine[w, j]
-        within = np.flatnonzero(j == own[w])
-        base[within] -= other[w[within], :classes]
-        base[within, j[within]] += self_n[w[within]]
-        change = _f(base + new[w, j][:, None]) - _f(base)
-        inner = np.flatnonzero(j < classes)
-        change[inner, j[inner]] = 0
-        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-        total[w[first]] += np.add.reduceat(change, first)
-    both = np.repeat(np.diag(m)[None, :classes], len(own), axis=0)
-    both[each, own] -= right[each, own] + left[each, own] - self_n
-    total += _f(both + new_right[:, :classes] + new_left[:, :classes] + self_n[:, None]) - _f(both)
-    for margin, n in ((m.sum(axis=1), to_right), (m.sum(axis=0), to_left)):
-        rest = np.repeat(margin[None, :classes], len(own), axis=0)
-        rest[each, own] -= n
-        total -= _f(rest + n[:, None]) - _f(rest)
-    return total - total[each, own][:, None]
-
-
-def _counted(codes: list[np.ndarray], ns: list[np.ndarray], total: int) -> pa.RecordBatch:
-    code, at = np.unique(np.concatenate(codes), return_inverse=True)
-    n = np.bincount(at, np.concatenate(ns)).astype(np.int64)
-    codes.clear()
-    ns.clear()
-    word, rest = code // (3 * total), code % (3 * total)
-    return pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array((rest // total).astype(np.int32)), pa.array((rest % total).astype(np.int32)), pa.array(n)], names=["word", "side", "class", "n"])
 
+    def __init__(self, m: np.ndarray, classes: int):
+        self.m, self.classes = m, classes
+        small = np.arange(_SMALL + 1)[:, None, None]
+        self.tables = []
+        for table in (m.T[:, :classes], m[:, :classes]):
+            table = np.ascontiguousarray(table)
+            self.tables.append((table, _f(table), _f(table + small) - _f(table)))
+        self.margins = []
+        for margin in (m.sum(axis=1)[:classes], m.sum(axis=0)[:classes]):
+            self.margins.append((margin, _f(margin), _f(margin + small[:, 0]) - _f(margin)))
+
+    def _added(self, n: np.ndarray, base: np.ndarray, of: np.ndarray, made: np.ndarray) -> np.ndarray:
+        """f(base + n) - f(base) for rows base, whose f is `of` and whose changes by small n are `made`."""
+        out = made.copy()
+        large = np.flatnonzero(n > _SMALL)
+        out[large] = _f(base[large] + n[large, None]) - of[large]
+        return out
+
+    def __call__(self, own: np.ndarray, right: np.ndarray, left: np.ndarray, self_n: np.ndarray) -> np.ndarray:
+        """A row for each word of class `own`. right[w, j], left[w, j]: how often a word of class j follows, precedes
+        it; self_n: how often it follows itself."""
+        classes, each = self.classes, np.arange(len(own))
+        new_right, new_left = right.copy(), left.copy()
+        new_right[each, own] -= self_n
+        new_left[each, own] -= self_n
+        total = np.zeros((len(own), classes))
+        for (table, of, made), mine, other, new in zip(self.tables, (right, left), (left, right), (new_right, new_left), strict=True):
+            w, j = np.nonzero(new)
+            if not len(w):
+                continue
+            add, e = new[w, j], np.arange(len(w))
+            few = np.minimum(add, _SMALL).astype(np.int64)
+            change = self._added(add, table[j], of[j], made[few, j])
+            o = own[w]
+            base = table[j, o] - mine[w, j]  # without the word itself, wherever it is
+            change[e, o] = _f(base + add) - _f(base)
+            within = np.flatnonzero(j == o)
+            base = table[j[within]].copy()
+            base[np.arange(len(within)), o[within]] -= mine[w[within], j[within]]
+            base -= other[w[within], :classes]
+            base[np.arange(len(within)), j[within]] += self_n[w[within]]
+            change[within] = _f(base + add[within][:, None]) - _f(base)
+            inner = np.flatnonzero(j < classes)
+            change[inner, j[inner]] = 0
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            total[w[first]] += np.add.reduceat(change, first)
+        add = new_right[:, :classes] + new_left[:, :classes] + self_n[:, None]
+        w, k = np.nonzero(add)
+        both = np.diag(self.m)[k] - np.where(k == own[w], right[w, k] + left[w, k] - self_n[w], 0)
+        total[w, k] += _f(both + add[w, k]) - _f(both)
+        for (margin, of, made), n in zip(self.margins, (right.sum(axis=1), left.sum(axis=1)), strict=True):
+            few = np.minimum(n, _SMALL).astype(np.int64)
+            rows = (len(own), classes)
+            change = self._added(n, np.broadcast_to(margin, rows), np.broadcast_to(of, rows), made[few])
+            rest = margin[own] - n
+            change[each, own] = _f(rest + n) - _f(rest)
+            total -= change
+        return total - total[each, own][:, None]
 
-def _held_counts(bigrams: DataFrame, shared, vocabulary: int, total: int, parts: int, turn: int) -> DataFrame:
-    """_class_counts() of the words whose turn it is under classes that are an array; a row may come in pieces."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value[1]
-        codes: list[np.ndarray] = []
-        ns: list[np.ndarray] = []
-        for batch in batches:
-            a, b, n = (batch.column(k).to_numpy().astype(np.int64) for k in range(3))
-            for word, side, cls in ((a, 0, classes[b]), (b, 1, classes[a]), (np.where(a == b, a, 0), 2, 0)):
-                chosen = (word >= 1) & (word <= vocabulary) & (mix64(word.astype(np.uint64)) % np.uint64(parts) == turn % parts)
-                codes.append(((word * 3 + side) * total + cls)[chosen])
-                ns.append(n[chosen])
-            if sum(map(len, codes)) >= _CODES:
-                yield _counted(codes, ns, total)
-        if codes:
-            yield _counted(codes, ns, total)
+def gains(m: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, self_n: float, classes: int) -> np.ndarray:
+    """Gains of one word."""
+    return Gains(m, classes)(np.array([own]), np.asarray(right, float)[None], np.asarray(left, float)[None], np.array([self_n], float))[0]
+
+
+def _best_moves(gains: Gains, own: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """The class of each word in which the objective is highest; its own, if no other is better."""
+    gain = gains(own, sides[0], sides[1], sides[2, :, 0])
+    return np.where(gain.max(axis=1) > 1e-6, gain.argmax(axis=1), own)
+
+
+def _is_turn(word: np.ndarray, parts: int, turn: int) -> np.ndarray:
+    return mix64(word.astype(np.uint64)) % np.uint64(parts) == turn
+
+
+class _Held:
+    """The exchange over neighbours(), with the class of each symbol in an array that every task has."""
 
-    return bigrams.select("a", "b", "n").mapInArrow(count, "word int, side int, class int, n bigint")
+    def __init__(self, table: DataFrame, vocabulary: int, n_classes: int):
+        self.table, self.vocabulary, self.n_classes, self.total = table, vocabulary, n_classes, n_classes + 1 + ENDINGS
+        self.context = table.sparkSession.sparkContext
+
+    def start(self) -> np.ndarray:
+        return np.concatenate([[self.n_classes], np.arange(self.vocabulary) % self.n_classes, self.n_classes + 1 + np.arange(ENDINGS)]).astype(np.int16)
+
+    def matrix(self, classes: np.ndarray) -> np.ndarray:
+        shared, total = self.context.broadcast(classes), self.total
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, m = shared.value, np.zeros(total * total)
+            for batch in batches:
+                for word, each, right, n in zip(*(batch.column(k) for k in range(4)), strict=True):
+                    m += np.bincount(np.repeat(own[_ints(word)].astype(np.int64) * total, _ints(each)) + own[_ints(right)], _ints(n), total * total)
+            yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary())], names=["m"])
+
+        sums = self.table.select("word", "right_each", "right", "right_n").mapInArrow(count, "m binary").toArrow()
+        return sum((np.frombuffer(x.as_buffer()) for x in sums["m"]), np.zeros(total * total)).reshape(total, total)
+
+    def moved(self, m: np.ndarray, classes: np.ndarray, parts: int, turn: int) -> np.ndarray:
+        shared, total, n_classes, vocabulary = self.context.broadcast((m, classes)), self.total, self.n_classes, self.vocabulary
+
+        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, classes = shared.value
+            gains = Gains(m, n_classes)
+            for batch in batches:
+                words, targets = [], []
+                for row in zip(*batch.columns, strict=True):
+                    word, *rest = map(_ints, row)
+                    chosen = (word >= 1) & (word <= vocabulary) & _is_turn(word, parts, turn)
+                    at = np.flatnonzero(chosen)
+                    number = np.cumsum(chosen) - 1
+                    for i in range(0, len(at), 512):
+                        mine = at[i : i + 512]
+                        lo, hi = mine[0], mine[-1] + 1
+                        sides = np.zeros((3, len(mine), total))
+                        for side, (each, other, n) in enumerate((rest[:3], rest[3:])):
+                            first, stop = int(each[:lo].sum()), int(each[:hi].sum())
+                            of = np.repeat(np.arange(lo, hi), each[lo:hi])
+                            use = chosen[of]
+                            of, o, k = of[use], other[first:stop][use], n[first:stop][use]
+                            sides[side] = np.bincount((number[of] - i) * total + classes[o], k, len(mine) * total).reshape(len(mine), total)
+                            if side == 0:
+                                sides[2, :, 0] = np.bincount(number[of] - i, np.where(word[of] == o, k, 0), len(mine))
+                        words.append(word[mine])
+                        targets.append(_best_moves(gains, classes[word[mine]].astype(np.int64), sides).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int32)) for x in (words, targets)], names=["word", "target"])
+
+        to = self.table.mapInArrow(move, "word int, target int").toArrow()  # a row a word of the turn
+        new = classes.copy()
+        new[to["word"].to_numpy()] = to["target"].to_numpy()
+        return new
 
 
 def _class_counts(bigrams: DataFrame, table: DataFrame) -> DataFrame:
@@ -196,89 +377,83 @@ def _sized(table: DataFrame) -> DataFrame:
     return small_side(table, F.lit(16))
 
 
-def _matrix(bigrams: DataFrame, classes: np.ndarray | DataFrame, total: int) -> np.ndarray:
-    """Class bigram counts under the class of each symbol, or a table (id, class) of them."""
-    if isinstance(classes, DataFrame):
-        rows = bigrams.join(classes.select(F.col("id").alias("a"), F.col("class").alias("x")), "a").join(classes.select(F.col("id").alias("b"), F.col("class").alias("y")), "b")
-    else:
-        shared = bigrams.sparkSession.sparkContext.broadcast(classes.astype(np.int16))
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, m = shared.value.astype(np.int64), np.zeros(total * total)
-            for batch in batches:
-                a, b, n = (batch.column(k).to_numpy() for k in range(3))
-                m += np.bincount(own[a] * total + own[b], n, total * total)
-            at = np.flatnonzero(m)
-            yield pa.RecordBatch.from_arrays([pa.array((at // total).astype(np.int32)), pa.array((at % total).astype(np.int32)), pa.array(m[at].astype(np.int64))], names=["x", "y", "n"])
-
-        rows = bigrams.select("a", "b", "n").mapInArrow(count, "x int, y int, n bigint")
-    m = np.zeros((total, total))
-    for r in rows.groupBy("x", "y").agg(F.sum("n").alias("n")).collect():  # classes squared at most
-        m[r["x"], r["y"]] = r["n"]
-    return m
-
-
-def _mover(shared, n_classes: int):
-    def move(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, classes = shared.value
-        pdf = pdf.sort_values("word", kind="stable")
-        words, first, number = np.unique(pdf["word"].to_numpy(), return_index=True, return_inverse=True)
-        own = (pdf["own"].to_numpy()[first] if classes is None else classes[words]).astype(np.int64)
-        side, cls, n = (pdf[c].to_numpy() for c in ("side", "class", "n"))
-        ends, targets = np.append(first, len(pdf)), own.copy()
-        for i in range(0, len(words), 256):
-            j = min(i + 256, len(words))
-            at = slice(ends[i], ends[j])
-            sides = np.zeros((3, j - i, len(m)))
-            np.add.at(sides, (side[at], number[at] - i, cls[at]), n[at])
-            gain = many_gains(m, own[i:j], sides[0], sides[1], sides[2, :, 0], n_classes)
-            targets[i:j] = np.where(gain.max(axis=1) > 1e-6, gain.argmax(axis=1), own[i:j])
-        return pd.DataFrame({"word": words, "target": targets}, dtype="int32")
-
-    return move
-
-
-def exchange(bigrams: DataFrame, vocabulary: int, n_classes: int = CLASSES, rounds: int = ROUNDS, held: bool = True) -> tuple[np.ndarray | DataFrame, np.ndarray]:
+class _Joined:
+    """The exchange over pairs (a, b, n), with the class of each symbol in a table (id, class)."""
+
+    def __init__(self, bigrams: DataFrame, vocabulary: int, n_classes: int):
+        self.bigrams, self.vocabulary, self.n_classes, self.total = bigrams, vocabulary, n_classes, n_classes + 1 + ENDINGS
+
+    def start(self) -> DataFrame:
+        first = F.when(F.col("id") == 0, self.n_classes).when(F.col("id") <= self.vocabulary, F.pmod(F.col("id") - 1, F.lit(self.n_classes))).otherwise(F.col("id") - self.vocabulary + self.n_classes)
+        ids = self.bigrams.sparkSession.range(self.vocabulary + 1 + ENDINGS).select(F.col("id").cast("int").alias("id"))
+        return _sized(write_table(ids.withColumn("class", first.cast("int")), "lm-classes"))
+
+    def matrix(self, classes: DataFrame) -> np.ndarray:
+        rows = self.bigrams.join(classes.select(F.col("id").alias("a"), F.col("class").alias("x")), "a").join(classes.select(F.col("id").alias("b"), F.col("class").alias("y")), "b")
+        m = np.zeros((self.total, self.total))
+        for r in rows.groupBy("x", "y").agg(F.sum("n").alias("n")).collect():  # classes squared at most
+            m[r["x"], r["y"]] = r["n"]
+        return m
+
+    def moved(self, m: np.ndarray, classes: DataFrame, parts: int, turn: int) -> DataFrame:
+        shared, n_classes = self.bigrams.sparkSession.sparkContext.broadcast(m), self.n_classes
+
+        @F.pandas_udf("boolean")
+        def mine(word: pd.Series) -> pd.Series:
+            return pd.Series(_is_turn(word.to_numpy(), parts, turn))
+
+        def move(pdf: pd.DataFrame) -> pd.DataFrame:
+            m = shared.value
+            gains = Gains(m, n_classes)
+            pdf = pdf.sort_values("word", kind="stable")
+            words, first, number = np.unique(pdf["word"].to_numpy(), return_index=True, return_inverse=True)
+            own = pdf["own"].to_numpy()[first].astype(np.int64)
+            side, cls, n = (pdf[c].to_numpy() for c in ("side", "class", "n"))
+            ends, targets = np.append(first, len(pdf)), own.copy()
+            for i in range(0, len(words), 512):
+                j = min(i + 512, len(words))
+                at = slice(ends[i], ends[j])
+                sides = np.zeros((3, j - i, len(m)))
+                np.add.at(sides, (side[at], number[at] - i, cls[at]), n[at])
+                targets[i:j] = _best_moves(gains, own[i:j], sides)
+            return pd.DataFrame({"word": words, "target": targets}, dtype="int32")
+
+        chosen = classes.where(f"id between 1 and {self.vocabulary}").select(F.col("id").alias("word"), F.col("class").alias("own")).where(mine("word"))
+        counts = _class_counts(self.bigrams, classes).join(chosen, "word")
+        groups = max(64, -(-self.vocabulary // 8000))
+        to = counts.withColumn("part", F.pmod("word", F.lit(groups))).groupBy("part").applyInPandas(move, "word int, target int")
+        to = _sized(write_table(to, "lm-moved")).withColumnRenamed("word", "id")
+        return _sized(write_table(classes.join(to, "id", "left").select("id", F.coalesce("target", "class").alias("class")), "lm-classes"))
+
+
+def exchange(over: _Held | _Joined, tolerance: float = TOLERANCE, rounds: int | None = None) -> tuple[np.ndarray | DataFrame, np.ndarray]:
     """(class of each symbol, class bigram counts): the exchange algorithm with half of the words moving in a round.
 
     Words begin in classes by their rank of frequency, which is their id. In each round every word of one half finds
-    the class in which the likelihood would be highest with all others where they are; a round that lowers the
-    likelihood is undone and its words move one fourth at a time. Starts and endings keep classes of their own, after
-    the first n_classes. Classes are an array if held, else a table (id, class).
+    the class in which the likelihood would be highest with all others where they are. A round that lowers the
+    likelihood is undone, and from then on words move in twice as many parts (a word alone can't lower it). It ends
+    when a pass over all words raises the log likelihood by less than tolerance a token (or after so many rounds, if
+    given). Starts and endings keep classes of their own, after the first n_classes.
     """
-    spark = bigrams.sparkSession
-    total = n_classes + 1 + ENDINGS
-    if held:
-        classes = np.concatenate([[n_classes], np.arange(vocabulary) % n_classes, n_classes + 1 + np.arange(ENDINGS)]).astype(np.int16)
-    else:
-        first = F.when(F.col("id") == 0, n_classes).when(F.col("id") <= vocabulary, F.pmod(F.col("id") - 1, F.lit(n_classes))).otherwise(F.col("id") - vocabulary + n_classes)
-        classes = _sized(write_table(spark.range(vocabulary + 1 + ENDINGS).select(F.col("id").cast("int").alias("id")).withColumn("class", first.cast("int")), "lm-classes"))
-    m = _matrix(bigrams, classes, total)
-    best, parts, turn = objective(m), 2, 0
-    groups = max(64, -(-vocabulary // 8000))
-    for _ in range(rounds if vocabulary else 0):
-        shared = spark.sparkContext.broadcast((m, classes if held else None))
-        if held:
-            counts = _held_counts(bigrams, shared, vocabulary, total, parts, turn)
-        else:
-            mine = F.udf(lambda w, p=parts: int(mix64(np.array([w], np.uint64))[0] % np.uint64(p)), "int")
-            chosen = classes.where(f"id between 1 and {vocabulary}").select(F.col("id").alias("word"), F.col("class").alias("own")).where(mine("word") == turn % parts)
-            counts = _class_counts(bigrams, classes).join(chosen, "word")
-        moved = counts.withColumn("part", F.pmod("word", F.lit(groups))).groupBy("part").applyInPandas(_mover(shared, n_classes), "word int, target int")
-        if held:
-            to = moved.toArrow()  # a row a word
-            new = classes.copy()
-            new[to["word"].to_numpy()] = to["target"].to_numpy()
-        else:
-            moved = _sized(write_table(moved, "lm-moved")).withColumnRenamed("word", "id")
-            new = _sized(write_table(classes.join(moved, "id", "left").select("id", F.coalesce("target", "class").alias("class")), "lm-classes"))
-        new_m = _matrix(bigrams, new, total)
+    classes = over.start()
+    m = over.matrix(classes)
+    best, parts, turn, gained, done = objective(m), 2, 0, 0.0, 0
+    while over.vocabulary and (rounds is None or done < rounds):
+        new = over.moved(m, classes, parts, turn)
+        new_m = over.matrix(new)
         value = objective(new_m)
+        done += 1
+        if value < best and parts <= over.vocabulary:
+            parts *= 2  # the same words, and then as many again
+            continue
         if value > best:
+            gained += value - best
             classes, m, best = new, new_m, value
-            turn += 1
-        else:
-            parts *= 2
+        turn += 1
+        if turn == parts:
+            if gained < tolerance * m.sum():
+                break
+            turn, gained = 0, 0.0
     return classes, m
 
 
@@ -331,20 +506,18 @@ def _ranked(words: DataFrame) -> DataFrame:
 
 
 def _words_of(docs: DataFrame, size: int, ranked: DataFrame) -> DataFrame:
-    """bigram_counts() for a vocabulary that is a table (word, id)."""
+    """(a, b, n), how often symbol b follows symbol a, for a vocabulary that is a table (word, id)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j in chunks(offsets):
                 own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                words, rows, start, end = tokenise(own, at)
+                words, rows = named_words(own, at)
                 if not len(words):
                     continue
-                ending = endings(own, start, end)
                 names, number = np.unique(words, return_inverse=True)
-                last = np.zeros(len(names), np.int64)
-                last[number] = ending
+                last = (names & np.uint64(ENDINGS - 1)).astype(np.int64)
                 before = np.append(-1, number[:-1])
                 before[rows[:-1][rows[:-1] < rows[1:]]] = -1
                 code, n = np.unique((before + 1) * len(names) + number, return_counts=True)
@@ -361,17 +534,19 @@ def _words_of(docs: DataFrame, size: int, ranked: DataFrame) -> DataFrame:
     return counted.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, share: float = 0.0, n_classes: int = CLASSES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, driver_words: int = DRIVER_WORDS) -> Model | TableModel | None:
+def fit(docs: DataFrame, n_classes: int = CLASSES, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, driver_words: int = DRIVER_WORDS, tolerance: float = TOLERANCE) -> Model | TableModel | None:
     """The model of all texts of docs; None if they have no word.
 
-    Words that occur `least` times (and make up `share` of all tokens) are exchanged and have emissions of their own.
+    Words that occur `least` times are exchanged and have emissions of their own. Null and empty texts add nothing;
+    repeated rows count each time; ids and columns with other names are ignored; equally frequent words begin in the
+    order of their hashes. An empty table has no model.
     """
     slim = Columns(docs).select(id=id_col, text=text_col)
     words = write_table(word_counts(slim), "lm-words")
     tokens = words.agg(F.sum("n").alias("n")).first()["n"]
     if not tokens:
         return None
-    is_frequent = F.col("n") >= F.lit(max(float(least), share * tokens))
+    is_frequent = F.col("n") >= least
     ranked = _ranked(words.where(is_frequent))
     size = ranked.count()
     rare = {r["ending"]: r["types"] for r in words.where(~is_frequent).groupBy("ending").agg(F.count("*").alias("types")).collect()}
@@ -381,10 +556,10 @@ def fit(docs: DataFrame, share: float = 0.0, n_classes: int = CLASSES, rounds: i
         hashes, ids = own["word"].to_numpy().view(np.uint64), own["id"].to_numpy().astype(np.int32)
         order = np.argsort(hashes)
         vocabulary = Vocabulary(hashes[order], ids[order])
-        bigrams = write_table(bigram_counts(slim, vocabulary), "lm-bigrams")
+        over = _Held(write_table(neighbours(slim, vocabulary, tokens), "lm-neighbours"), size, n_classes)
     else:
-        bigrams = write_table(_words_of(slim, size, ranked), "lm-bigrams")
-    classes, m = exchange(bigrams, size, n_classes, rounds, size <= driver_words)
+        over = _Joined(write_table(_words_of(slim, size, ranked), "lm-bigrams"), size, n_classes)
+    classes, m = exchange(over, tolerance, rounds)
     in_class = m[:, :n_classes].sum(axis=0)  # each word follows a word or a start
     if size > driver_words:
         sums = F.array(*[F.lit(float(x)) for x in in_class])
@@ -414,9 +589,9 @@ def _score_joined(slim: DataFrame, model: TableModel, names: list[str]) -> DataF
             keys = batch.column(0).to_numpy()
             for i, j in chunks(offsets):
                 own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                words, rows, first, end = tokenise(own, at)
+                words, rows = named_words(own, at)
                 n = np.diff(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[i:j], n)), pa.array(np.arange(len(words)) - np.repeat(rows[:-1], n)), pa.array(words.view(np.int64)), pa.array(endings(own, first, end).astype(np.int32))], names=["key", "at", "word", "ending"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[i:j], n)), pa.array(np.arange(len(words)) - np.repeat(rows[:-1], n)), pa.array(words.view(np.int64)), pa.array((words & np.uint64(ENDINGS - 1)).astype(np.int32))], names=["key", "at", "word", "ending"])
 
     tokens = keyed.select("key", "text").mapInArrow(read, "key bigint, at bigint, word bigint, ending int")
     unseen = F.element_at(F.array(*[F.lit(float(x)) for x in model.emission]), F.col("ending") + 1)

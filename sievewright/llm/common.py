@@ -68,9 +68,9 @@ _WORD[48:58] = _WORD[97:123] = True
 _WORD[128:] = True
 _rng = np.random.default_rng(20240611)
 _BYTE_HASH = _rng.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-_POWERS = np.ones(256, dtype=np.uint64)
-_POWERS[1:] = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.multiply.accumulate(_POWERS)
+#: Bytes that are hashed at a time, in the processor's cache; powers of an odd number, and of its inverse.
+_PIECE = 1 << 16
+_POWERS, _INVERSE = (np.multiply.accumulate(np.append(np.uint64(1), np.full(_PIECE - 1, x, np.uint64))) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
 #: Bytes that one call of tokenise() is given at a time; a longer text comes alone and whole.
 CHUNK_BYTES = 1 << 22
 
@@ -159,11 +159,23 @@ def tokenise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     start = np.flatnonzero(begins)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), start, start
-    at = np.flatnonzero(word)
-    number = np.cumsum(begins)[at] - 1
-    value = _BYTE_HASH[low[at]]
-    value *= _POWERS[(at - start[number]) & 255]
-    lead = np.searchsorted(at, start)
-    hashes = mix64(np.add.reduceat(value, lead))
-    ends = at[np.append(lead[1:], len(at)) - 1] + 1
-    return hashes, np.searchsorted(start, offsets), start, ends
+    last = word.copy()
+    last[:-1] &= ~word[1:] | begins[1:]
+    end = np.flatnonzero(last) + 1
+    return _word_hashes(low, start, end), np.searchsorted(start, offsets), start, end
+
+
+def _word_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The polynomial of each word's bytes, from running sums over a piece of the text."""
+    out = np.empty(len(start), np.uint64)
+    k = 0
+    while k < len(start):
+        j = max(k + 1, int(np.searchsorted(end, start[k] + _PIECE, side="right")))
+        s = start[k]
+        value = _BYTE_HASH[low[s : end[j - 1]]]
+        value *= _POWERS[: len(value)] if len(value) <= _PIECE else np.resize(_POWERS, len(value))
+        total = np.cumsum(value)
+        first = start[k:j] - s
+        out[k:j] = (total[end[k:j] - s - 1] - total[first] + value[first]) * _INVERSE[first]
+        k = j
+    return mix64(out)
