@@ -9,7 +9,7 @@ from sievewright.llm import langid, mixing, sharding
 
 from .test_decontamination import brute
 from .test_neardup import brute_groups
-from .test_sharding_mixing import brute_plan
+from .test_sharding_mixing import brute_plan, brute_probabilities
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,11 +78,9 @@ def test_mixing_stage(stages):
         total = sum(n**a for n in sums.values())
         goals.append({k: n**a / total for k, n in sums.items()})
     cells = [(*k, float(n)) for k, n in tokens.items()]
-    w = mixing.rake(cells, goals)
-    ratio = {c[:3]: x / c[3] for c, x in zip(cells, w, strict=True)}
-    top = max(ratio.values())
+    prob = brute_probabilities(cells, goals, mixing.TOKENS_KEPT)
     draw = lambda i: int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:12], 16) / 2**48
-    assert set(after.doc_id) == {i for i, k in zip(before.doc_id, keys, strict=True) if draw(i) < ratio[k] / top}
+    assert set(after.doc_id) == {i for i, k in zip(before.doc_id, keys, strict=True) if draw(i) < prob[k]}
 
 
 def test_sharding_stage(stages):
