@@ -29,13 +29,25 @@ def test_each_rule_rejects_its_case_and_spares_prose(spark, corpus):
 
 
 def test_order_is_by_rejections_per_cost_and_does_not_change_verdicts(spark, corpus):
-    a, b, c = (quality.Rule(n, "length(text) > 10", "") for n in "abc")
-    assert [r.name for r in quality.ordered([quality.Estimate(a, 1.0, 5), quality.Estimate(b, 0.1, 5), quality.Estimate(c, 0.1, 0)])] == ["b", "a", "c"]
+    a, b, c, d = (quality.Rule(n, "length(text) > 10", "") for n in "abcd")
+    patterns = {0: 50, 1: 5, 2: 4, 3: 1, 6: 9}
+    made = [quality.Estimate(r, cost, frozenset(hits)) for r, cost, hits in ((a, 1.0, {1, 3}), (b, 0.2, {2, 3, 6}), (c, 0.1, {6}), (d, 0.01, set()))]
+    assert [r.name for r in quality.ordered(made, patterns)] == ["c", "b", "a", "d"]  # c takes the most of b's away
+    assert [r.name for r in quality.ordered(made[1:], {2: 4, 6: 9})] == ["c", "b", "d"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*BAD.values(), "fine words here"])], "doc_id bigint, text string")
     every = [sorted((r["doc_id"], r["v"] is None) for r in df.select("doc_id", quality.cascade(F.col("text"), list(o)).alias("v")).collect()) for o in (quality.RULES, quality.RULES[::-1])]
     assert every[0] == every[1]
 
 
+def test_costs_are_measured_well_enough(spark, corpus):
+    df = spark.createDataFrame([(k * 1000 + i, t) for k in range(8) for i, t, *_ in corpus], "doc_id bigint, text string")
+    slow = quality.Rule("slow", "length(regexp_replace(regexp_replace(lower(text), '[aeiou]+', '-'), '(?i)([b-d]|[f-h])+x?', '+')) > 100", "")
+    quick = quality.Rule("quick", "octet_length(text) > 100", "")
+    middle = quality.Rule("middle", "regexp_count(text, '[0-9]') >= 0 and length(text) > 100", "")
+    for _ in range(2):
+        assert [r.name for r in quality.ordered(*quality.estimate(df, (slow, middle, quick)))] == ["quick", "middle", "slow"]
+
+
 def test_later_rules_are_not_evaluated(spark):
     rules = [quality.Rule("first", "length(text) > 2", ""), quality.Rule("never", "raise_error('evaluated') is null", "")]
     got = spark.createDataFrame([("long text",)], "text string").select(quality.cascade(F.col("text"), rules).alias("v")).collect()
