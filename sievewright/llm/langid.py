@@ -12,18 +12,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.llm.common import Columns, chunks, text_buffers
+from sievewright.llm.common import Columns, chunks, small_side, text_buffers, write_table
 
 HIDDEN = 8
-#: Bytes that the network reads at once, in both directions; a text is cut into so many windows as it needs.
-WINDOW = 128
-#: Training: labelled documents of each language (those with the smallest hashes of their ids), steps, windows a step.
-DOCS_PER_LANG, STEPS, BATCH, TRAIN_WINDOW, RATE = 150, 220, 160, 64, 0.02
+#: Texts are read in windows of so many bytes side by side, then the states at their borders are carried on until they
+#: change a state by less than SETTLED; a longer text than BLOCK bytes is read in blocks of windows.
+WINDOW, BLOCK, SETTLED = 512, 1 << 19, 1e-3
+#: Training: labelled documents of each language (those with the smallest hashes of their ids), pieces of each, evenly
+#: spaced over the whole text, steps, windows a step, bytes of a piece.
+DOCS_PER_LANG, PIECES, STEPS, BATCH, TRAIN_WINDOW, RATE = 150, 8, 220, 96, 128, 0.02
 #: Pooled probability under which a document is rejected.
 MIN_PROB = 0.5
 #: The label of what is no known language: digits, signs, random letters, codes, other scripts.
 UNKNOWN = "und"
-_WINDOWS_AT_ONCE = 1024
 _SCRIPTS = ((0x400, 0x44F), (0x391, 0x3C9), (0x4E00, 0x9FA5), (0x5D0, 0x5EA), (0x627, 0x64A), (0x3041, 0x3096))
 
 
@@ -157,64 +158,171 @@ def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = S
     return net
 
 
-def position_probabilities(net: Network, text: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
-    """(steps, languages, windows): a label distribution for every position of text (steps, windows).
-
-    lengths, rising: the windows' own; what lies beyond is padding, whose labels mean nothing and change no others.
-    """
-    steps, batch = text.shape
-    hid = net.u.shape[2]
-    scale = np.ones((3 * hid, 1), np.float32)
-    scale[: 2 * hid] = 0.5  # a logistic gate as a hyperbolic tangent
-    table = (net.x + net.b[:, :, None]) * scale
-    u = net.u * scale
-    h = np.zeros((steps + 1, 2, hid, batch), np.float32)
-    g, m = np.empty((2, 3 * hid, batch), np.float32), np.empty((2, 3 * hid, batch), np.float32)
-    for t in range(steps):
-        np.take(table[0], text[t], axis=1, out=g[0], mode="clip")
-        np.take(table[1], text[steps - 1 - t], axis=1, out=g[1], mode="clip")
-        np.matmul(u, h[t], out=m)
-        zr, n = g[:, : 2 * hid], g[:, 2 * hid :]
-        zr += m[:, : 2 * hid]
+class _Reader:
+    """The network's weights as the reading pass uses them: logistic gates as hyperbolic tangents."""
+
+    def __init__(self, net: Network):
+        self.hid = net.u.shape[2]
+        scale = np.ones((3 * self.hid, 1), np.float32)
+        scale[: 2 * self.hid] = 0.5
+        self.table = (net.x + net.b[:, :, None]) * scale
+        self.u = net.u * scale
+        self.net = net
+
+    def states(self, text: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+        """(steps + 1, direction, unit, window): all windows of text (steps, windows) from nothing, in the order each
+        direction reads. lengths, rising: the windows' own; what lies beyond is padding."""
+        steps, batch = text.shape
+        hid = self.hid
+        h = np.zeros((steps + 1, 2, hid, batch), np.float32)
+        g, m = np.empty((2, 3 * hid, batch), np.float32), np.empty((2, 3 * hid, batch), np.float32)
+        for t in range(steps):
+            np.take(self.table[0], text[t], axis=1, out=g[0], mode="clip")
+            np.take(self.table[1], text[steps - 1 - t], axis=1, out=g[1], mode="clip")
+            np.matmul(self.u, h[t], out=m)
+            self._step(g, m, h[t], h[t + 1])
+            if lengths is not None and (padding := int(np.searchsorted(lengths, steps - 1 - t, side="right"))):
+                h[t + 1, 1, :, :padding] = 0
+        return h
+
+    def _step(self, g: np.ndarray, m: np.ndarray, h: np.ndarray, new: np.ndarray) -> None:
+        hid = self.hid
+        zr, n = g[..., : 2 * hid, :], g[..., 2 * hid :, :]
+        zr += m[..., : 2 * hid, :]
         np.tanh(zr, out=zr)
         zr *= 0.5
         zr += 0.5
-        m[:, 2 * hid :] *= zr[:, hid:]
-        n += m[:, 2 * hid :]
+        m[..., 2 * hid :, :] *= zr[..., hid:, :]
+        n += m[..., 2 * hid :, :]
         np.tanh(n, out=n)
-        new = h[t + 1]
-        np.subtract(h[t], n, out=new)
-        new *= zr[:, :hid]
+        np.subtract(h, n, out=new)
+        new *= zr[..., :hid, :]
         new += n
-        if lengths is not None and (padding := int(np.searchsorted(lengths, steps - 1 - t, side="right"))):
-            new[1, :, :padding] = 0
-    return _softmax(net.v[0] @ h[1:, 0] + net.v[1] @ h[:0:-1, 1] + net.c[:, None], 1)
+
+    def carry(self, h: np.ndarray, d: int, text: np.ndarray, lengths: np.ndarray, before: np.ndarray, entry: np.ndarray | None = None) -> None:
+        """In place: the states of direction d as if every window began where the one that it reads before it ended.
+
+        before: for each window that one, or -1; entry: the state in which windows without one begin. Windows are read
+        again from their new beginning as far as that changes them; those that it changes to the end pass it on.
+        """
+        steps = len(text)
+        live = np.flatnonzero(before >= 0)
+        begin = h[steps, d][:, before[live]]
+        if entry is not None:
+            first = np.flatnonzero(before < 0)
+            live, begin = np.append(live, first), np.concatenate([begin, np.repeat(entry[:, None], len(first), axis=1)], axis=1)
+        after = np.full(len(before), -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        while len(live):
+            now = np.ascontiguousarray(begin)
+            for t in range(steps):
+                g = self.table[d][:, text[t if d == 0 else steps - 1 - t, live]]
+                new = np.empty_like(now)
+                self._step(g, self.u[d] @ now, now, new)
+                if d == 1:
+                    new[:, lengths[live] <= steps - 1 - t] = 0 if entry is None else entry[:, None]
+                was = h[t + 1, d][:, live]
+                h[t + 1, d][:, live] = new
+                on = np.abs(new - was).max(axis=0) > SETTLED
+                if d == 0:
+                    on &= t + 1 < lengths[live]
+                else:
+                    on |= lengths[live] <= steps - 1 - t
+                if t + 1 == steps:
+                    on = np.abs(new - was).max(axis=0) > SETTLED
+                live, now = (live, new) if on.all() else (live[on], np.ascontiguousarray(new[:, on]))
+                if not len(live):
+                    return
+            on = after[live] >= 0
+            live, begin = after[live[on]], now[:, on]
+
+    def probabilities(self, h: np.ndarray) -> np.ndarray:
+        net = self.net
+        return _softmax(net.v[0] @ h[1:, 0] + net.v[1] @ h[:0:-1, 1] + net.c[:, None], 1)
+
+
+def position_probabilities(net: Network, text: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """(steps, languages, windows): a label distribution for every position of text (steps, windows), each window a
+    text of its own; what lies beyond its length is padding, whose labels mean nothing and change no others."""
+    reader = _Reader(net)
+    return reader.probabilities(reader.states(text, lengths))
+
+
+@dataclass
+class _Windows:
+    """Windows of some texts, by rising length: their texts, bytes (steps, windows), lengths, and neighbours (or -1)."""
+
+    row: np.ndarray
+    text: np.ndarray
+    length: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
 
 
-def pooled(net: Network, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """For each text (rows, languages): the sum over its positions of the label probabilities, and of the labels."""
-    rows, sizes = len(offsets) - 1, np.diff(offsets)
-    n = -(-sizes // window)
-    row = np.repeat(np.arange(rows), n)
-    start = offsets[:-1][row] + window * (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+def _windows(data: np.ndarray, offsets: np.ndarray, window: int) -> _Windows:
+    n = -(-np.diff(offsets) // window)
+    row = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = offsets[:-1][row] + window * nth
     length = np.minimum(window, offsets[1:][row] - start)
+    order = np.argsort(length, kind="stable")  # windows of like length together, so that few steps are padding
+    at = np.empty_like(order)
+    at[order] = np.arange(len(order))
+    before = np.where(nth > 0, at[np.arange(len(row)) - 1], -1)[order] if len(row) else order
+    after = np.where(nth + 1 < n[row], at[np.minimum(np.arange(len(row)) + 1, len(row) - 1)], -1)[order] if len(row) else order
+    steps = np.arange(int(length.max(initial=0)))
+    inside = steps[:, None] < length[order][None, :]
+    text = np.where(inside, data[np.minimum(start[order][None, :] + steps[:, None], max(len(data) - 1, 0))], 0).astype(np.intp) if len(row) else np.zeros((0, 0), np.intp)
+    return _Windows(row[order], text, length[order], before, after)
+
+
+def pooled(net: Network, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """For each text (rows, languages): the sum over its positions of the label probabilities, and of the labels.
+
+    Both directions read the whole text, from its first byte to its last and back.
+    """
+    rows, reader = len(offsets) - 1, _Reader(net)
     prob, label = np.zeros((rows, len(net.langs))), np.zeros((rows, len(net.langs)))
-    by_size = np.argsort(length, kind="stable")  # windows of like length together, so that few steps are padding
-    steps = np.arange(window)
-    for at in range(0, len(row), _WINDOWS_AT_ONCE):
-        w = by_size[at : at + _WINDOWS_AT_ONCE]
-        top = int(length[w[-1]])
-        inside = steps[:top, None] < length[w][None, :]
-        text = np.where(inside, data[np.minimum(start[w][None, :] + steps[:top, None], len(data) - 1)], 0).astype(np.intp)
-        p = position_probabilities(net, text, length[w])
-        whole = bool(inside.all())
+    block = max(window, block // window * window)
+
+    def add(w: _Windows, h: np.ndarray, row: np.ndarray) -> None:
+        p = reader.probabilities(h)
         best = p.argmax(axis=1)
-        if not whole:
+        inside = np.arange(len(w.text))[:, None] < w.length[None, :]
+        if not inside.all():
             p *= inside[:, None, :]
         total = p.sum(axis=0)
         for k in range(len(net.langs)):
-            prob[:, k] += np.bincount(row[w], total[k], rows)
-            label[:, k] += np.bincount(row[w], ((best == k) & inside).sum(axis=0), rows)
+            prob[:, k] += np.bincount(row, total[k], rows)
+            label[:, k] += np.bincount(row, ((best == k) & inside).sum(axis=0), rows)
+
+    def read(w: _Windows, entries: tuple = (None, None)) -> np.ndarray:
+        h = reader.states(w.text, w.length)
+        for d, neighbour in ((0, w.before), (1, w.after)):
+            reader.carry(h, d, w.text, w.length, neighbour, entries[d])
+        return h
+
+    for i, j in chunks(offsets, block):
+        if j > i + 1 or offsets[j] - offsets[i] <= block:
+            w = _windows(data, offsets[i : j + 1], window)
+            if len(w.row):
+                add(w, read(w), w.row + i)
+            continue
+        cuts = [*range(int(offsets[i]), int(offsets[j]), block), int(offsets[j])]
+        parts = [np.array(c) for c in zip(cuts[:-1], cuts[1:], strict=True)]
+        entry, back = None, [None] * len(parts)
+        for k in range(len(parts) - 1, 0, -1):  # what the backward direction brings into each block
+            w = _windows(data, parts[k], window)
+            h = reader.states(w.text, w.length)
+            reader.carry(h, 1, w.text, w.length, w.after, entry)
+            entry = back[k - 1] = h[-1, 1][:, int(np.flatnonzero(w.before < 0)[0])].copy()
+        entry = None
+        for k, part in enumerate(parts):
+            w = _windows(data, part, window)
+            h = read(w, (entry, back[k]))
+            add(w, h, np.full(len(w.row), i))
+            last = int(np.flatnonzero(w.after < 0)[0])
+            entry = h[w.length[last], 0][:, last].copy()
     return prob, label
 
 
@@ -237,14 +345,21 @@ def _identify(net: Network | None, texts: pa.Array, min_prob: float, languages:
     return lang, p, share, some & (p >= min_prob) & allowed[best]
 
 
-def labelled_sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[bytes, str]]:
-    """Texts of docs_per_lang labelled documents of each language: those whose ids have the smallest hashes."""
+def labelled_sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: int = PIECES, size: int = TRAIN_WINDOW) -> list[tuple[bytes, str]]:
+    """Pieces of docs_per_lang labelled documents of each language: those whose ids have the smallest hashes.
+
+    A text of up to pieces x size characters is one piece; of a longer one come so many of that size, evenly spaced from
+    its beginning to its end. So what reaches the driver is bounded, however long the texts. Rows with a null id, label
+    or text are left out; of rows that repeat an id and a label, the text whose pieces come first counts.
+    """
     t = Columns(docs)
     ids = t.select(id=id_col, lang=lang_col).where("id is not null and lang is not null").select("id", "lang", F.xxhash64(F.lit("train"), "id").alias("h")).distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = F.broadcast(ids.withColumn("nth", nth).where(F.col("nth") <= docs_per_lang).select("id", "lang"))  # docs_per_lang rows a language
-    rows = t.select(id=id_col, text=text_col, lang=lang_col).where("text is not null").join(chosen, ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
-    return [(r["text"].encode(), r["lang"]) for r in rows.collect()]
+    chosen = ids.withColumn("nth", nth).where(F.col("nth") <= docs_per_lang).select("id", "lang")
+    chosen = small_side(write_table(chosen, "lang-chosen"), F.lit(24) + F.octet_length("lang"))
+    cut = F.expr(f"case when length(text) <= {pieces * size} then array(text) else transform(sequence(0, {pieces - 1}), k -> substring(text, cast(1 + floor(k * (length(text) - {size}) / {max(1, pieces - 1)}) as int), {size})) end")
+    rows = t.select(id=id_col, text=text_col, lang=lang_col).where("text is not null").join(chosen, ["id", "lang"]).groupBy("id", "lang").agg(F.min(cut).alias("pieces"))
+    return [(p.encode(), r["lang"]) for r in rows.collect() for p in r["pieces"]]
 
 
 def fit_languages(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **kw) -> Network | None:
@@ -255,7 +370,7 @@ def fit_languages(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, id_col: s
 def identify_languages(docs: DataFrame, net: Network | None, min_prob: float = MIN_PROB, languages: frozenset[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_id, prob, label_share, keep) of every row.
 
-    The network labels every byte of the whole text, windows of WINDOW bytes at a time; prob is the mean probability
+    The network labels every byte, having read the whole text from both ends; prob is the mean probability
     of the best language over all positions, label_share the share of positions whose own label it is. keep: prob is
     min_prob at least, the label isn't UNKNOWN, and, if languages are given, it is one of them.
 
@@ -274,7 +389,10 @@ def identify_languages(docs: DataFrame, net: Network | None, min_prob: float = M
 
 
 def keep_identified(docs: DataFrame, net: Network | None, min_prob: float = MIN_PROB, languages: frozenset[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of docs that identify_languages() keeps, with the columns of docs."""
+    """The rows of docs that identify_languages() keeps, with the columns of docs, whatever their names.
+
+    Rows with a null or empty text go; repeated rows stay or go together; an empty table stays empty.
+    """
     t = Columns(docs)
     at = t.outer.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(net)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -66,6 +67,59 @@ def test_pooling_covers_every_byte(net):
     assert np.allclose(one, prob[1:], rtol=1e-3, atol=1e-3)
 
 
+def brute(net, text):
+    """(language, mean probability, share of labels), reading byte by byte in plain Python, from both ends of the text."""
+    hid, n = net.u.shape[2], len(text)
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+    weights = [a.astype(float) for a in net.arrays()]
+    x, u, b, v, c = weights
+    states = []
+    for d in (0, 1):
+        h, own = [0.0] * hid, []
+        for byte in text if d == 0 else text[::-1]:
+            a, m = x[d][:, byte] + b[d], u[d] @ np.array(h)
+            z = [logistic(a[k] + m[k]) for k in range(hid)]
+            r = [logistic(a[hid + k] + m[hid + k]) for k in range(hid)]
+            new = [math.tanh(a[2 * hid + k] + r[k] * m[2 * hid + k]) for k in range(hid)]
+            h = [new[k] + z[k] * (h[k] - new[k]) for k in range(hid)]
+            own.append(h)
+        states.append(own if d == 0 else own[::-1])
+    total, labels = [0.0] * len(net.langs), [0] * len(net.langs)
+    for t in range(n):
+        e = [math.exp(float(v[0][k] @ np.array(states[0][t]) + v[1][k] @ np.array(states[1][t]) + c[k])) for k in range(len(net.langs))]
+        labels[e.index(max(e))] += 1
+        total = [s + y / sum(e) for s, y in zip(total, e, strict=True)]
+    best = total.index(max(total))
+    return net.langs[best], total[best] / n, labels[best] / n
+
+
+def test_query_against_plain_python(spark, corpus):
+    """op4_language_id's own steps, against reading every text byte by byte."""
+    rng = random.Random(4)
+    rows = [(i, t, lang) for i, t, lang, *_ in corpus] + [(500, prose(rng, "fr", 300) + prose(rng, "de", 300), "fr"), (501, "1234 " * 300, "en"), (502, "é", "fr")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = langid.fit_languages(df, steps=60)
+    got = {r["doc_id"]: r for r in langid.identify_languages(df, net).collect()}
+    for i, text, _ in rows[::6] + rows[-3:]:
+        lang, prob, share = brute(net, text.encode())
+        assert abs(got[i]["prob"] - prob) < 5e-3 and abs(got[i]["label_share"] - share) < 0.01 + 1.5 / len(text.encode())
+        assert got[i]["lang_id"] == lang or prob < 0.55
+        assert got[i]["keep"] == (prob >= langid.MIN_PROB and lang != langid.UNKNOWN) or abs(prob - langid.MIN_PROB) < 5e-3
+
+
+@pytest.mark.parametrize("window, block", [(16, 64), (64, 256), (100, 100), (512, 1 << 19)])
+def test_states_go_through_the_whole_text(net, window, block):
+    rng = random.Random(2)
+    texts = [prose(rng, "en", 300) + prose(rng, "de", 200), "a", prose(rng, "fr", 40), "x" * 100, prose(rng, "de", 90)[:256]]
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    prob, label = langid.pooled(net, np.frombuffer(b"".join(data), np.uint8), offsets, window, block)
+    for k, t in enumerate(data):
+        whole = langid.position_probabilities(net, np.frombuffer(t, np.uint8)[:, None].astype(np.intp))[:, :, 0]
+        assert np.allclose(prob[k] / len(t), whole.mean(axis=0), atol=2e-3)
+        assert np.abs(label[k] - np.bincount(whole.argmax(axis=1), minlength=len(net.langs))).max() <= 1 + 0.01 * len(t)
+
+
 def test_stage_keeps_what_the_query_keeps(docs, net):
     keep = {r["doc_id"] for r in langid.identify_languages(docs, net).collect() if r["keep"]}
     kept = langid.keep_identified(docs, net)
@@ -85,4 +139,5 @@ def test_messy_and_empty(spark, messy, empty_docs, net):
     assert langid.identify_languages(empty_docs, net).count() == 0
     assert langid.fit_languages(empty_docs) is None
     assert langid.keep_identified(messy, None).count() == 0
-    assert len(langid.labelled_sample(messy, 2)) == 5  # at most two of each language, null ids and texts left out
+    pieces = langid.labelled_sample(messy, 2)  # at most two of each language, null ids and texts left out
+    assert len(pieces) == 3 + 2 * langid.PIECES and all(len(p) == langid.TRAIN_WINDOW for p, lang in pieces if lang == "de")
