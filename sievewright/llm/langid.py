@@ -17,7 +17,11 @@ from sievewright.llm.common import Columns, chunks, small_side, text_buffers, wr
 HIDDEN = 8
 #: Texts are read in windows of so many bytes side by side, then the states at their borders are carried on until they
 #: change a state by less than SETTLED; a longer text than BLOCK bytes is read in blocks of windows.
-WINDOW, BLOCK, SETTLED = 512, 1 << 19, 1e-3
+WINDOW, BLOCK, SETTLED = 1024, 1 << 21, 5e-3
+#: The most of a state that stays from one byte to the next: an unbounded memory would be worth little to a label.
+LONGEST = 0.9
+#: Windows are first read from what so many bytes beside them leave, which is close to what the whole text does.
+WARM = 64
 #: Training: labelled documents of each language (those with the smallest hashes of their ids), pieces of each, evenly
 #: spaced over the whole text, steps, windows a step, bytes of a piece.
 DOCS_PER_LANG, PIECES, STEPS, BATCH, TRAIN_WINDOW, RATE = 150, 8, 220, 96, 128, 0.02
@@ -32,7 +36,8 @@ _SCRIPTS = ((0x400, 0x44F), (0x391, 0x3C9), (0x4E00, 0x9FA5), (0x5D0, 0x5EA), (0
 class Network:
     """Weights of both directions, first axis: x (2, 3H, 256) for each byte, u (2, 3H, H), b (2, 3H); output v (2, L, H), c (L).
 
-    Rows of the gates: update, reset, candidate.
+    Rows of the gates: update, reset (x / 4 + 1/2, cut off at 0 and at LONGEST or 1), candidate (a hyperbolic
+    tangent).
     """
 
     langs: list[str]
@@ -52,6 +57,10 @@ def new_network(langs: list[str], hidden: int = HIDDEN, seed: int = 5) -> Networ
     return Network(langs, f(2, 3 * hidden, 256, scale=0.3), f(2, 3 * hidden, hidden, scale=0.5 / np.sqrt(hidden)), np.zeros((2, 3 * hidden), np.float32), f(2, len(langs), hidden, scale=0.3), np.zeros(len(langs), np.float32))
 
 
+def _most(hid: int) -> np.ndarray:
+    return np.repeat(np.array([LONGEST, 1], np.float32), hid)
+
+
 def _softmax(z: np.ndarray, axis: int) -> np.ndarray:
     z = np.exp(z - z.max(axis=axis, keepdims=True))
     z /= z.sum(axis=axis, keepdims=True)
@@ -69,7 +78,7 @@ def train_step(net: Network, text: np.ndarray, mask: np.ndarray, labels: np.ndar
     for t in range(steps):
         a = np.stack([net.x[d][:, both[d, t]] for d in (0, 1)]) + net.b[:, :, None]
         m = net.u @ h[t]
-        zr = 1 / (1 + np.exp(-(a[:, : 2 * hid] + m[:, : 2 * hid])))
+        zr = np.clip(0.25 * (a[:, : 2 * hid] + m[:, : 2 * hid]) + 0.5, 0, _most(hid)[:, None])
         z, r = zr[:, :hid], zr[:, hid:]
         inner[t] = m[:, 2 * hid :]
         n = np.tanh(a[:, 2 * hid :] + r * inner[t])
@@ -96,8 +105,8 @@ def train_step(net: Network, text: np.ndarray, mask: np.ndarray, labels: np.ndar
         dh[1] *= mask[steps - 1 - t]
         z, r, n = gates[t][:, :hid], gates[t][:, hid : 2 * hid], gates[t][:, 2 * hid :]
         dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (h[t] - n) * z * (1 - z)
-        dr = dn * inner[t] * r * (1 - r)
+        dz = dh * (h[t] - n) * 0.25 * ((z > 0) & (z < LONGEST))
+        dr = dn * inner[t] * 0.25 * ((r > 0) & (r < 1))
         da = np.concatenate([dz, dr, dn], axis=1)
         dm = np.concatenate([dz, dr, dn * r], axis=1)
         gu += dm @ h[t].transpose(0, 2, 1)
@@ -159,93 +168,112 @@ def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = S
 
 
 class _Reader:
-    """The network's weights as the reading pass uses them: logistic gates as hyperbolic tangents."""
+    """The network's weights as the reading pass uses them: the gates scaled, so that they only need to be cut off."""
 
     def __init__(self, net: Network):
         self.hid = net.u.shape[2]
-        scale = np.ones((3 * self.hid, 1), np.float32)
-        scale[: 2 * self.hid] = 0.5
-        self.table = (net.x + net.b[:, :, None]) * scale
-        self.u = net.u * scale
+        scale, shift = np.ones((3 * self.hid, 1), np.float32), np.zeros((3 * self.hid, 1), np.float32)
+        scale[: 2 * self.hid], shift[: 2 * self.hid] = 0.25, 0.5
+        self.table = (net.x + net.b[:, :, None]) * scale + shift
+        self.u = np.ascontiguousarray(net.u * scale)
         self.net = net
 
-    def states(self, text: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
-        """(steps + 1, direction, unit, window): all windows of text (steps, windows) from nothing, in the order each
-        direction reads. lengths, rising: the windows' own; what lies beyond is padding."""
+    def _step(self, d: int, byte: np.ndarray, h: np.ndarray, new: np.ndarray, space: tuple | None = None) -> None:
+        hid, n = self.hid, len(byte)
+        g, m = (np.empty((3 * hid, n), np.float32), np.empty((3 * hid, n), np.float32)) if space is None else (s[: 3 * hid * n].reshape(3 * hid, n) for s in space)
+        np.take(self.table[d], byte, axis=1, out=g, mode="clip")
+        np.matmul(self.u[d], h, out=m)
+        zr, c, mc = g[: 2 * hid], g[2 * hid :], m[2 * hid :]
+        zr += m[: 2 * hid]
+        np.clip(zr[:hid], 0, LONGEST, out=zr[:hid])
+        np.clip(zr[hid:], 0, 1, out=zr[hid:])
+        mc *= zr[hid:]
+        c += mc
+        np.tanh(c, out=c)
+        np.subtract(h, c, out=mc)
+        mc *= zr[:hid]
+        np.add(mc, c, out=new)
+
+    def states(self, d: int, text: np.ndarray, lengths: np.ndarray, begin: np.ndarray | None = None) -> np.ndarray:
+        """(steps + 1, unit, window): direction d over the windows of text (steps, windows), whose lengths rise; begin:
+        the state of each window at its first place (else nothing). Forwards, [t + 1] is the state after place t;
+        backwards, [t] is."""
         steps, batch = text.shape
-        hid = self.hid
-        h = np.zeros((steps + 1, 2, hid, batch), np.float32)
-        g, m = np.empty((2, 3 * hid, batch), np.float32), np.empty((2, 3 * hid, batch), np.float32)
-        for t in range(steps):
-            np.take(self.table[0], text[t], axis=1, out=g[0], mode="clip")
-            np.take(self.table[1], text[steps - 1 - t], axis=1, out=g[1], mode="clip")
-            np.matmul(self.u, h[t], out=m)
-            self._step(g, m, h[t], h[t + 1])
-            if lengths is not None and (padding := int(np.searchsorted(lengths, steps - 1 - t, side="right"))):
-                h[t + 1, 1, :, :padding] = 0
+        h = np.zeros((steps + 1, self.hid, batch), np.float32)
+        if begin is not None:
+            h[np.zeros(batch, np.int64) if d == 0 else lengths, :, np.arange(batch)] = begin.T
+        short = np.searchsorted(lengths, np.arange(steps), side="right")  # windows that end before each place
+        space = (np.empty(3 * self.hid * batch, np.float32), np.empty(3 * self.hid * batch, np.float32))
+        for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
+            s, one, two = short[t], *((t, t + 1) if d == 0 else (t + 1, t))
+            self._step(d, text[t, s:], h[one][:, s:], h[two][:, s:], space)
         return h
 
-    def _step(self, g: np.ndarray, m: np.ndarray, h: np.ndarray, new: np.ndarray) -> None:
-        hid = self.hid
-        zr, n = g[..., : 2 * hid, :], g[..., 2 * hid :, :]
-        zr += m[..., : 2 * hid, :]
-        np.tanh(zr, out=zr)
-        zr *= 0.5
-        zr += 0.5
-        m[..., 2 * hid :, :] *= zr[..., hid:, :]
-        n += m[..., 2 * hid :, :]
-        np.tanh(n, out=n)
-        np.subtract(h, n, out=new)
-        new *= zr[..., :hid, :]
-        new += n
-
-    def carry(self, h: np.ndarray, d: int, text: np.ndarray, lengths: np.ndarray, before: np.ndarray, entry: np.ndarray | None = None) -> None:
-        """In place: the states of direction d as if every window began where the one that it reads before it ended.
-
-        before: for each window that one, or -1; entry: the state in which windows without one begin. Windows are read
-        again from their new beginning as far as that changes them; those that it changes to the end pass it on.
+    def warm(self, d: int, text: np.ndarray, lengths: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """(unit, window): the state that the nearest WARM bytes of the window which is read before each one leave."""
+        out = np.zeros((self.hid, len(before)), np.float32)
+        at = np.flatnonzero(before >= 0)
+        size = min(WARM, len(text))
+        beside = text[len(text) - size :, before[at]] if d == 0 else text[:size, before[at]][::-1]
+        now = np.zeros((self.hid, len(at)), np.float32)
+        for k in range(size if len(at) else 0):
+            new = np.empty_like(now)
+            self._step(d, beside[k], now, new)
+            if d == 1:
+                new[:, lengths[before[at]] <= size - 1 - k] = 0
+            now = new
+        out[:, at] = now
+        return out
+
+    def carry(self, h: np.ndarray, d: int, text: np.ndarray, lengths: np.ndarray, before: np.ndarray) -> None:
+        """In place: states() as if every window began where the one that direction d reads before it ended.
+
+        before: for each window that one, or -1. Windows are read again from their new beginning as far as that changes
+        them; those that it changes to the end pass it on.
         """
         steps = len(text)
-        live = np.flatnonzero(before >= 0)
-        begin = h[steps, d][:, before[live]]
-        if entry is not None:
-            first = np.flatnonzero(before < 0)
-            live, begin = np.append(live, first), np.concatenate([begin, np.repeat(entry[:, None], len(first), axis=1)], axis=1)
         after = np.full(len(before), -1)
         after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        live = np.flatnonzero(before >= 0)
+        now = h[steps if d == 0 else 0][:, before[live]]
+        began = h[0][:, live] if d == 0 else h[lengths[live], :, live].T
+        far = np.abs(now - began).max(axis=0) > SETTLED
+        live, now = live[far], now[:, far]
         while len(live):
-            now = np.ascontiguousarray(begin)
-            for t in range(steps):
-                g = self.table[d][:, text[t if d == 0 else steps - 1 - t, live]]
+            now = np.ascontiguousarray(now)
+            for k in range(steps):
+                t = k if d == 0 else steps - 1 - k
                 new = np.empty_like(now)
-                self._step(g, self.u[d] @ now, now, new)
-                if d == 1:
-                    new[:, lengths[live] <= steps - 1 - t] = 0 if entry is None else entry[:, None]
-                was = h[t + 1, d][:, live]
-                h[t + 1, d][:, live] = new
-                on = np.abs(new - was).max(axis=0) > SETTLED
+                self._step(d, text[t, live], now, new)
+                there = h[t + 1 if d == 0 else t]
+                if (k + 1) % 16 and k + 1 < steps:
+                    there[:, live], now = new, new
+                    continue
+                on = np.abs(new - there[:, live]).max(axis=0) > SETTLED
                 if d == 0:
-                    on &= t + 1 < lengths[live]
-                else:
-                    on |= lengths[live] <= steps - 1 - t
-                if t + 1 == steps:
-                    on = np.abs(new - was).max(axis=0) > SETTLED
-                live, now = (live, new) if on.all() else (live[on], np.ascontiguousarray(new[:, on]))
+                    on &= k + 1 < lengths[live] + (k + 1 == steps)
+                there[:, live] = new
+                live, now = live[on], np.ascontiguousarray(new[:, on])
                 if not len(live):
                     return
             on = after[live] >= 0
-            live, begin = after[live[on]], now[:, on]
+            live, now = after[live[on]], now[:, on]
 
-    def probabilities(self, h: np.ndarray) -> np.ndarray:
-        net = self.net
-        return _softmax(net.v[0] @ h[1:, 0] + net.v[1] @ h[:0:-1, 1] + net.c[:, None], 1)
+    def scores(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+        """What label probabilities are in proportion to; states lie between -1 and 1, so nothing overflows."""
+        z = self.net.v[0] @ forward
+        z += self.net.v[1] @ backward
+        z += self.net.c[:, None]
+        return np.exp(z, out=z)
 
 
 def position_probabilities(net: Network, text: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
     """(steps, languages, windows): a label distribution for every position of text (steps, windows), each window a
     text of its own; what lies beyond its length is padding, whose labels mean nothing and change no others."""
     reader = _Reader(net)
-    return reader.probabilities(reader.states(text, lengths))
+    lengths = np.full(text.shape[1], len(text)) if lengths is None else lengths
+    e = reader.scores(reader.states(0, text, lengths)[1:], reader.states(1, text, lengths)[:-1])
+    return e / e.sum(axis=1, keepdims=True)
 
 
 @dataclass
@@ -285,44 +313,51 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray, window: int = WI
     prob, label = np.zeros((rows, len(net.langs))), np.zeros((rows, len(net.langs)))
     block = max(window, block // window * window)
 
-    def add(w: _Windows, h: np.ndarray, row: np.ndarray) -> None:
-        p = reader.probabilities(h)
-        best = p.argmax(axis=1)
-        inside = np.arange(len(w.text))[:, None] < w.length[None, :]
-        if not inside.all():
-            p *= inside[:, None, :]
-        total = p.sum(axis=0)
-        for k in range(len(net.langs)):
-            prob[:, k] += np.bincount(row, total[k], rows)
-            label[:, k] += np.bincount(row, ((best == k) & inside).sum(axis=0), rows)
-
-    def read(w: _Windows, entries: tuple = (None, None)) -> np.ndarray:
-        h = reader.states(w.text, w.length)
-        for d, neighbour in ((0, w.before), (1, w.after)):
-            reader.carry(h, d, w.text, w.length, neighbour, entries[d])
+    def add(w: _Windows, forward: np.ndarray, backward: np.ndarray, row: np.ndarray) -> None:
+        steps = len(w.text)
+        for t in range(0, steps, 64):
+            s, e = int(np.searchsorted(w.length, t, side="right")), min(steps, t + 64)
+            p = reader.scores(forward[t + 1 : e + 1, :, s:], backward[t:e, :, s:])
+            hit = p == p.max(axis=1, keepdims=True)
+            p /= p.sum(axis=1, keepdims=True)
+            if w.length[s] < e:
+                inside = (np.arange(t, e)[:, None] < w.length[None, s:])[:, None, :]
+                p *= inside
+                hit &= inside
+            total, hits = p.sum(axis=0), hit.sum(axis=0)
+            for k in range(len(net.langs)):
+                prob[:, k] += np.bincount(row[s:], total[k], rows)
+                label[:, k] += np.bincount(row[s:], hits[k], rows)
+
+    def read(d: int, w: _Windows, entry: np.ndarray | None = None) -> np.ndarray:
+        """Direction d over the windows; entry: the state before the first that it reads of a text in several blocks."""
+        neighbour = (w.before, w.after)[d]
+        begin = reader.warm(d, w.text, w.length, neighbour)
+        if entry is not None:
+            begin[:, neighbour < 0] = entry[:, None]
+        h = reader.states(d, w.text, w.length, begin)
+        reader.carry(h, d, w.text, w.length, neighbour)
         return h
 
     for i, j in chunks(offsets, block):
         if j > i + 1 or offsets[j] - offsets[i] <= block:
             w = _windows(data, offsets[i : j + 1], window)
             if len(w.row):
-                add(w, read(w), w.row + i)
+                add(w, read(0, w), read(1, w), w.row + i)
             continue
         cuts = [*range(int(offsets[i]), int(offsets[j]), block), int(offsets[j])]
         parts = [np.array(c) for c in zip(cuts[:-1], cuts[1:], strict=True)]
         entry, back = None, [None] * len(parts)
         for k in range(len(parts) - 1, 0, -1):  # what the backward direction brings into each block
             w = _windows(data, parts[k], window)
-            h = reader.states(w.text, w.length)
-            reader.carry(h, 1, w.text, w.length, w.after, entry)
-            entry = back[k - 1] = h[-1, 1][:, int(np.flatnonzero(w.before < 0)[0])].copy()
+            entry = back[k - 1] = read(1, w, entry)[0][:, int(np.flatnonzero(w.before < 0)[0])].copy()
         entry = None
         for k, part in enumerate(parts):
             w = _windows(data, part, window)
-            h = read(w, (entry, back[k]))
-            add(w, h, np.full(len(w.row), i))
+            forward = read(0, w, entry)
+            add(w, forward, read(1, w, back[k]), np.full(len(w.row), i))
             last = int(np.flatnonzero(w.after < 0)[0])
-            entry = h[w.length[last], 0][:, last].copy()
+            entry = forward[w.length[last]][:, last].copy()
     return prob, label
 
 
@@ -332,7 +367,7 @@ def _identify(net: Network | None, texts: pa.Array, min_prob: float, languages:
     rows = len(texts)
     best, p, share = np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
     if net is not None:
-        for i, j in chunks(offsets, 1 << 20):
+        for i, j in chunks(offsets, BLOCK):
             prob, label = pooled(net, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             size = np.maximum(1, np.diff(offsets[i : j + 1]))
             best[i:j] = prob.argmax(axis=1)

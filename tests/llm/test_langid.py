@@ -70,7 +70,7 @@ def test_pooling_covers_every_byte(net):
 def brute(net, text):
     """(language, mean probability, share of labels), reading byte by byte in plain Python, from both ends of the text."""
     hid, n = net.u.shape[2], len(text)
-    logistic = lambda x: 1 / (1 + math.exp(-x))
+    gate = lambda x: min(1.0, max(0.0, x / 4 + 0.5))
     weights = [a.astype(float) for a in net.arrays()]
     x, u, b, v, c = weights
     states = []
@@ -78,8 +78,8 @@ def brute(net, text):
         h, own = [0.0] * hid, []
         for byte in text if d == 0 else text[::-1]:
             a, m = x[d][:, byte] + b[d], u[d] @ np.array(h)
-            z = [logistic(a[k] + m[k]) for k in range(hid)]
-            r = [logistic(a[hid + k] + m[hid + k]) for k in range(hid)]
+            z = [min(langid.LONGEST, gate(a[k] + m[k])) for k in range(hid)]
+            r = [gate(a[hid + k] + m[hid + k]) for k in range(hid)]
             new = [math.tanh(a[2 * hid + k] + r[k] * m[2 * hid + k]) for k in range(hid)]
             h = [new[k] + z[k] * (h[k] - new[k]) for k in range(hid)]
             own.append(h)
