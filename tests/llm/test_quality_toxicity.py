@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -78,13 +80,17 @@ def test_label_model_recovers_accuracies():
     y, rate, votes, model = simulated(0)
     assert abs(model.prior - 0.1) < 0.01
     assert np.allclose(model.fires[1], rate[:, 1], atol=0.05) and np.allclose(model.fires[0], rate[:, 0], atol=0.01)
-    assert np.abs(model.correlation - np.eye(5)).max() < 0.15
+    assert not model.pairs
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.985
 
 
 def test_label_model_discounts_copies():
     y, _, votes, model = simulated(1)
-    assert model.correlation[0, 5] > 0.9 and model.weights[0] < 0.6 < model.weights[1]
+    assert model.pairs == [(0, 5)]
+    twice = model.posterior(np.array([1 | 1 << 5]))[0]
+    naive = toxicity._independent(model.prior, model.fires).posterior(np.array([1 | 1 << 5]))[0]
+    one = simulated(0)[3].posterior(np.array([1]))[0]
+    assert abs(twice - one) < 0.1 < naive - twice  # the copy adds nothing
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.97
 
 
@@ -111,9 +117,72 @@ def test_held_out_accuracy(spark):
 def test_votes_by_hand():
     texts = ["an idiot and a moron", "nothing", "one idiot here among a good many other quiet words " * 9]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
-    bits = toxicity.vote(data, np.cumsum([0, *map(len, texts)]), toxicity.known_entries(np.zeros(0, np.uint64)))
+    bits = toxicity.vote(data, np.cumsum([0, *map(len, texts)]), toxicity.Known(np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
     names = [{v for k, v in enumerate(toxicity.VOTERS) if b >> k & 1} for b in bits]
-    assert names == [{"lexicon_a", "two_insults", "dense"}, set(), {"lexicon_a", "two_insults", "dense"}]
+    assert names == [{"lexicon_a", "several", "dense"}, set(), {"lexicon_a", "dense"}]
+
+
+def test_factors_meet_their_margins():
+    g = np.random.default_rng(1)
+    p = g.dirichlet(np.ones(16), 2)
+    every = toxicity.bits_of(np.arange(16), 4)
+    fires, together = p @ every, np.einsum("cp,pj,pk->cjk", p, every, every)
+    model = toxicity._with_pairs(0.2, fires, together, [(0, 1), (1, 2)], 50)
+    made = np.exp(model.log_p)
+    assert np.allclose(made.sum(axis=1), 1) and np.allclose(made @ every, fires, atol=1e-6)
+    got = np.einsum("cp,pj,pk->cjk", made, every, every)
+    assert np.allclose(got[:, [0, 1], [1, 2]], together[:, [0, 1], [1, 2]], atol=1e-6)
+    # no more than that is assumed: 0 and 2 are independent given 1, and 3 of all
+    for c in (0, 1):
+        m = made[c].reshape(2, 2, 2, 2)  # of voters 3, 2, 1, 0
+        for x in (0, 1):
+            part = m[:, :, x].sum(axis=0) / m[:, :, x].sum()
+            assert np.allclose(part, np.outer(part.sum(axis=1), part.sum(axis=0)))
+        assert np.allclose(m, m.sum(axis=0)[None] * m.sum(axis=(1, 2, 3))[:, None, None, None])
+
+
+def test_query_against_plain_python(spark, monkeypatch):
+    """Every document's votes, posterior and score, read word by word, with the parameters that were fitted."""
+    rng = random.Random(2)
+    rude = [w for words in toxicity.LEXICONS for w in words]
+    rows, labels = [], []
+    for i in range(400):
+        words = prose(rng, "en", rng.choice([8, 40, 150])).split()
+        if i % 5 == 0:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice([rng.choice(rude), "nastyword" + rng.choice(["", "s", "ly", "ish"])]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0)))
+    rows += [(900, None), (901, "")]
+    seen = {}
+    for name in ("fit_label_model", "fit_linear", "mine"):
+        real = getattr(toxicity, name)
+        monkeypatch.setattr(toxicity, name, lambda *a, real=real, name=name, **k: seen.setdefault(name, (a, real(*a, **k)))[1])
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()}
+    tokens = lambda t: re.findall(r"[0-9a-z\u0080-\uffff]+", (t or "").lower())
+    hash_of = {w: int(toxicity.word_hash(w)) for _, t in rows for w in tokens(t)}
+    parts = lambda w: {hash_of[w]} | {int(h[0]) for live, h in toxicity.prefix_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]), toxicity.PREFIXES) if len(live)}
+    mined, begun = ({int(x) for x in side} for side in seen["mine"][1])
+    names = {w for w in hash_of if hash_of[w] in mined}
+    assert {"nastyword", "nastywords", "nastywordly", "nastywordish"} <= names | {w for w in hash_of if parts(w) & begun}
+    counts = Counter()
+    linear = seen["fit_linear"][1]
+    weights = dict(zip(linear.find.hashes.tolist(), linear.weights.tolist(), strict=True))
+    for i, t in rows:
+        own = tokens(t)
+        whole = [w for w in own if w in rude or w in names]
+        beginning = {w for w in own if w not in rude and w not in names and parts(w) & begun}
+        bits = [any(w in lexicon for w in own) for lexicon in toxicity.LEXICONS] + [any(w in names and w not in rude for w in own), bool(beginning), len(set(whole) | beginning) >= 2, (len(whole) + len(beginning)) * 50 >= max(1, len(own))]
+        counts[sum(b << k for k, b in enumerate(bits))] += 1
+        z = linear.bias + sum(weights.get(x, 0.0) for x in {x for w in own for x in parts(w)})
+        assert np.isclose(got[i]["score"], 1 / (1 + np.exp(-z))) and got[i]["toxic"] == (got[i]["score"] >= toxicity.CUTOFF)
+    patterns, n = seen["fit_label_model"][0]
+    assert dict(zip(patterns.tolist(), n.tolist(), strict=True)) == dict(counts)
+    model = seen["fit_label_model"][1]
+    for pattern in counts:
+        toxic, clean = (share * np.exp(model.log_p[c][pattern]) for c, share in ((1, model.prior), (0, 1 - model.prior)))
+        assert np.isclose(model.posterior(np.array([pattern]))[0], toxic / (toxic + clean), atol=1e-6)
+    assert np.mean([got[i]["toxic"] == bool(y) for i, y in labels]) > 0.97
 
 
 def test_toxicity_messy_and_empty(spark, messy, empty_docs):
