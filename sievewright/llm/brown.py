@@ -25,9 +25,11 @@ CLASSES, ENDINGS = 64, 32
 TOLERANCE = 0.02
 #: Absolute discount of class transitions.
 DISCOUNT = 0.5
-_CODES = 1 << 22
+_CODES = 1 << 21
 #: Neighbours of words that are gathered in one task, about; words and neighbours of a row of the table of neighbours.
-_PART, _BLOCK_WORDS, _BLOCK = 4_000_000, 4096, 400_000
+_PART, _BLOCK_WORDS, _BLOCK = 1_000_000, 4096, 200_000
+#: Words whose gains are found at a time; a task holds some ten arrays of words x classes x classes.
+_AT_ONCE = 128
 
 
 def endings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -154,12 +156,14 @@ def _merged(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, neighbour, n), each pair once, by word."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    word, other, n = np.concatenate([_ints(x).reshape(3, -1) for x in data], axis=1).astype(np.int64)
-    code = word << 32 | other
+    word, other, n = np.concatenate([_ints(x).reshape(3, -1) for x in data], axis=1)
+    code = word.astype(np.int64) << 32 | other
+    del word, other
     order = np.argsort(code)
-    code = code[order]
+    code, n = code[order], n[order].astype(np.int64)
+    del order
     new = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-    return code[new] >> 32, code[new] & 0xFFFFFFFF, np.add.reduceat(n[order], new) if len(new) else n
+    return code[new] >> 32, code[new] & 0xFFFFFFFF, np.add.reduceat(n, new) if len(new) else n
 
 
 def neighbours(docs: DataFrame, vocabulary: Vocabulary, tokens: int) -> DataFrame:
@@ -344,8 +348,8 @@ class _Held:
                     chosen = (word >= 1) & (word <= vocabulary) & _is_turn(word, parts, turn)
                     at = np.flatnonzero(chosen)
                     number = np.cumsum(chosen) - 1
-                    for i in range(0, len(at), 512):
-                        mine = at[i : i + 512]
+                    for i in range(0, len(at), _AT_ONCE):
+                        mine = at[i : i + _AT_ONCE]
                         lo, hi = mine[0], mine[-1] + 1
                         sides = np.zeros((3, len(mine), total))
                         for side, (each, other, n) in enumerate((rest[:3], rest[3:])):
@@ -410,8 +414,8 @@ class _Joined:
             own = pdf["own"].to_numpy()[first].astype(np.int64)
             side, cls, n = (pdf[c].to_numpy() for c in ("side", "class", "n"))
             ends, targets = np.append(first, len(pdf)), own.copy()
-            for i in range(0, len(words), 512):
-                j = min(i + 512, len(words))
+            for i in range(0, len(words), _AT_ONCE):
+                j = min(i + _AT_ONCE, len(words))
                 at = slice(ends[i], ends[j])
                 sides = np.zeros((3, j - i, len(m)))
                 np.add.at(sides, (side[at], number[at] - i, cls[at]), n[at])
