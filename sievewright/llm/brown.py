@@ -30,6 +30,8 @@ _CODES = 1 << 21
 _PART, _BLOCK_WORDS, _BLOCK = 1_000_000, 4096, 200_000
 #: Words whose gains are found at a time; a task holds some ten arrays of words x classes x classes.
 _AT_ONCE = 128
+#: Bytes of text that are split into words at a time; a longer text comes alone and whole.
+_CHUNK = 1 << 20
 
 
 def endings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -126,7 +128,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, _CHUNK):
                 codes.append(named_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0])
                 if sum(map(len, codes)) >= _CODES:
                     yield counted()
@@ -187,7 +189,7 @@ def neighbours(docs: DataFrame, vocabulary: Vocabulary, tokens: int) -> DataFram
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, _CHUNK):
                 now, before, _ = _symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shared.value)
                 if len(now):
                     codes.append(before.astype(np.int64) * size + now)
@@ -515,7 +517,7 @@ def _words_of(docs: DataFrame, size: int, ranked: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, _CHUNK):
                 own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 words, rows = named_words(own, at)
                 if not len(words):
@@ -591,7 +593,7 @@ def _score_joined(slim: DataFrame, model: TableModel, names: list[str]) -> DataF
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             keys = batch.column(0).to_numpy()
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, _CHUNK):
                 own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 words, rows = named_words(own, at)
                 n = np.diff(rows)
@@ -630,7 +632,7 @@ def score_documents(docs: DataFrame, model: Model | TableModel | None, id_col: s
             n, log = np.zeros(rows, np.int64), np.zeros(rows)
             if shared.value is not None:
                 data, offsets = text_buffers(batch.column(1))
-                for i, j in chunks(offsets):
+                for i, j in chunks(offsets, _CHUNK):
                     n[i:j], log[i:j] = log_probabilities(shared.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             perplexity = np.exp(np.minimum(-log / np.maximum(n, 1), 700))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(log), pa.array(perplexity, mask=n == 0)], names=schema.names)
