@@ -78,9 +78,14 @@ def stripped_text(c: Column) -> Column:
     return F.coalesce(stripped(c.cast("string")), F.lit("nan"))
 
 
+def to_whole(c: Column) -> Column:
+    """A bigint, towards zero (60601.7 is 60601); null for what isn't a number or is beyond a bigint, infinity included."""
+    return F.coalesce(c.cast("string").try_cast("bigint"), to_number(c).try_cast("bigint"))
+
+
 def zip_text(c: Column, compat: bool = False) -> Column:
-    """A whole number as text; null stays null, or is '<NA>' if compat."""
-    text = c.cast("bigint").cast("string")
+    """A whole number as text; null, and what is no number, is null, or '<NA>' if compat."""
+    text = to_whole(c).cast("string")
     return F.coalesce(text, F.lit("<NA>")) if compat else text
 
 

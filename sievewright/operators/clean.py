@@ -17,7 +17,8 @@ def default_license(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
 
 def clean_inspections(df: DataFrame, roles: Roles = Roles(), default_category: str = "Others", dropped_risk: str = "All") -> DataFrame:
     """The fixed rules, in order: category default; place columns go; rows without zip, licence, kind or risk go, as do
-    licence 0 and the catch-all risk; zip and licence become numbers (what isn't one becomes null and stays); the date
+    licence 0 and the catch-all risk; zip and licence become whole numbers, see to_whole() (what isn't one, 1e30 and
+    Infinity included, becomes null and stays); the date
     becomes three ints; terms are extracted from the findings.
 
     It is a projection with filters, so it also runs on streams.
@@ -25,9 +26,9 @@ def clean_inspections(df: DataFrame, roles: Roles = Roles(), default_category: s
     df = c.fill_constants(df, {roles.category: default_category})
     df = c.drop_present(df, roles.location, roles.city, roles.state)
     df = c.drop_null_rows(df, roles.zip)
-    df = df.withColumn(roles.zip, c.to_number(c.col(roles.zip)).cast("bigint"))
+    df = df.withColumn(roles.zip, c.to_whole(c.col(roles.zip)))
     df = c.drop_null_rows(df, roles.license)
-    df = df.withColumn(roles.license, c.to_number(c.col(roles.license)).cast("bigint"))
+    df = df.withColumn(roles.license, c.to_whole(c.col(roles.license)))
     df = c.drop_equal(df, roles.license, 0)
     df = c.drop_null_rows(df, roles.kind, roles.risk)
     df = c.drop_equal(df, roles.risk, dropped_risk)

@@ -40,7 +40,8 @@ def entity_kpis(df: DataFrame, roles: Roles = Roles(), compat: bool = False, dig
     average + 0.10 rate of non-operational results. compat: risks are compared with their case, and a null is 'nan'.
     digits=None leaves rates unrounded.
     """
-    rows = _prepared(df, roles, compat)
+    used = [x for x in (roles.entity, roles.row_id, roles.result, roles.risk, roles.name, roles.category, roles.city, roles.year) if x in df.columns]
+    rows = write_table(_prepared(df, roles, compat).select(*[col(x) for x in used], "__terms"), "kpi-rows")  # read by the counts, the modes and the terms
     fold = (lambda c: c) if compat else F.lower
     result, risk = fold(col(roles.result)), fold(col(roles.risk))
     is_ = lambda c, v: c == (v if compat else v.lower())

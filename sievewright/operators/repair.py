@@ -66,7 +66,7 @@ def repair_all(df: DataFrame, pairs: list[tuple[str, str]] | None = None, max_rh
     summary: fd, confidence_before, confidence_after, delta, lhs_values_repaired, rows_repaired. Each step
     writes the few values it repairs to the shared folder, so the rows stay one chain of joins with small tables.
     """
-    now = normalise_texts(df, roles, compat)
+    now = write_table(normalise_texts(df, roles, compat), "normalised")  # each step and each confidence reads it
     summaries, logs = [], []
     for lhs, rhs in pairs or repair_order(roles):
         if lhs not in df.columns or rhs not in df.columns:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions.coerce import col, stripped
 from sievewright.roles import Roles
+from sievewright.storage import write_table
 
 MIN_SUPPORT, MIN_CONFIDENCE, TOP = 0.02, 0.3, 50
 #: An itemset of k items has 2 ** k - 2 splits; longer ones than this are refused rather than split.
@@ -55,10 +56,11 @@ def association_rules(baskets: DataFrame, min_support: float = MIN_SUPPORT, min_
 
     Ties in lift go by support, then antecedents, then consequents; top: so many (None or 0: all).
     """
+    baskets = write_table(baskets.select(col(items)), "baskets")  # counted once and read by both passes of FP-growth
     total = baskets.count()
     if not total:
         return baskets.sparkSession.createDataFrame([], RULES_SCHEMA)
-    sets = frequent_itemsets(baskets, min_support, items)
+    sets = write_table(frequent_itemsets(baskets, min_support, items), "itemsets")
     wide = F.assert_true(F.size("items") <= MAX_ITEMS, f"an itemset has more than {MAX_ITEMS} items").isNull()
     masks = sets.where("size(items) > 1").where(wide).select("items", "freq", F.explode(F.expr("sequence(1, shiftleft(1, size(items)) - 2)")).alias("mask"))
     splits = masks.select("freq", F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 1)").alias("antecedents"), F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 0)").alias("consequents"))

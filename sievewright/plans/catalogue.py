@@ -11,6 +11,7 @@ from sievewright.functions import text as t
 from sievewright.operators import clean, dependencies, entity, impute, kpi, modes, profile, repair, rules, star
 from sievewright.plans import oracle as o
 from sievewright.plans.inspections import inspections, table
+from sievewright.storage import write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,7 +32,10 @@ def cleaned(spark: SparkSession, d: str) -> DataFrame:
     return clean.clean_inspections(inspections(spark, d))
 
 
-# ---------------------------------------------------------------- profiles
+def written(spark: SparkSession, d: str) -> DataFrame:
+    """cleaned(), computed once, for plans that read it several times."""
+    return write_table(cleaned(spark, d), "cleaned")
+
 
 _INSP = {"inspection_id": "int64", "dba_name": "object", "aka_name": "object", "license_no": "int64", "facility_type": "object", "risk": "object", "address": "object", "zip": "int64", "inspection_date": "object", "inspection_type": "object", "results": "object", "violations": "object", "latitude": "float64", "longitude": "float64"}
 
@@ -94,6 +98,16 @@ def clean_inspections(spark, d):
     return cleaned(spark, d)
 
 
+_ODD = "case inspection_id % 17 when 0 then 'x' when 1 then 'Infinity' when 2 then '1e30' when 3 then '60601.7' else cast({c} as {text}) end"
+_WHOLE = "try_cast(trunc(try_cast({c} as double)) as bigint) {c}"
+
+
+@query(o.insp(f"select inspection_id, {_WHOLE.format(c='zip')}, {_WHOLE.format(c='license_no')} from (select * replace ({', '.join(_ODD.format(c=c, text='varchar') + ' as ' + c for c in ('zip', 'license_no'))}) from insp) where zip is not null and license_no is not null and license_no <> '0' and inspection_type is not null and risk is not null and risk <> 'All'"))
+def coerced_numbers(spark, d):
+    odd = inspections(spark, d).withColumns({c: F.expr(_ODD.format(c=c, text="string")) for c in ("zip", "license_no")})
+    return clean.clean_inspections(odd).select("inspection_id", "zip", "license_no")
+
+
 @query(o.insp("select i.inspection_id, violation_terms from insp i left join terms t on t.inspection_id = i.inspection_id", o.TERMS))
 def violation_terms(spark, d):
     return inspections(spark, d).select("inspection_id", t.violation_terms(F.col("violations")).alias("violation_terms"))
@@ -113,12 +127,12 @@ def normalized_names(spark, d):
 
 _ITEMS = """items as materialized (select inspection_id, 'Facility Type=' || trim(facility_type) item from clean where trim(facility_type) <> '' union select inspection_id, 'Risk=' || trim(risk) from clean where trim(risk) <> '' union select inspection_id, 'Results=' || trim(results) from clean where trim(results) <> ''{terms})"""
 _WITH_TERMS = _ITEMS.format(terms=" union select inspection_id, 'Violation=' || unnest(string_split(violation_terms, ',')) from clean where violation_terms is not null")
-_NO_TERMS = _ITEMS.format(terms="")
-_SETS = """ones as (select [item] items, count(*) freq from items group by item), total as (select count(*) n from clean),
-twos as (select [a.item, b.item] items, count(*) freq from items a join items b on a.inspection_id = b.inspection_id and a.item < b.item group by a.item, b.item),
-threes as (select [a.item, b.item, c.item] items, count(*) freq from items a join items b on a.inspection_id = b.inspection_id and a.item < b.item join items c on a.inspection_id = c.inspection_id and b.item < c.item group by a.item, b.item, c.item),
-sets as materialized (select * from (select * from ones union all select * from twos union all select * from threes) where freq >= 0.02::double * (select n from total))"""
-_RULES = f"""{_NO_TERMS}, {_SETS},
+#: Level by level: the inspections that hold each frequent set, prolonged by each later item.
+_SETS = """total as materialized (select count(*) n, 0.02::double * count(*) least from clean),
+holders(items, inspection_id) as (select [item], inspection_id from items qualify count(*) over (partition by item) >= (select least from total)
+ union all select items, inspection_id from (select list_append(h.items, i.item) items, h.inspection_id from holders h join items i on i.inspection_id = h.inspection_id and i.item > h.items[-1]) qualify count(*) over (partition by items) >= (select least from total)),
+sets as materialized (select items, count(*) freq from holders group by items)"""
+_RULES = f"""{_WITH_TERMS}, {_SETS},
 splits as (select items, freq, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) a, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 0) c from (select items, freq, unnest(range(1, (1 << len(items)) - 1)) m from sets where len(items) > 1)),
 rules as (select a, c, s.freq / n::double support, s.freq / x.freq::double confidence, (s.freq / x.freq::double) / (y.freq / n::double) lift from splits s join sets x on x.items = a join sets y on y.items = c, total where s.freq / x.freq::double >= 0.3)"""
 _RULE_COLUMNS = "select array_to_string(a, ', ') antecedents, array_to_string(c, ', ') consequents, support, confidence, lift from rules"
@@ -129,23 +143,27 @@ def transactions_items(spark, d):
     return rules.transactions(cleaned(spark, d), keep=("inspection_id",)).select("inspection_id", t.set_text(F.col("items")).alias("items"))
 
 
-@query(o.clean("select array_to_string(items, ', ') as items, freq from sets", _WITH_TERMS, _SETS))
+def _mined(select: str, *ctes: str) -> str:
+    return o.clean(select, *ctes).replace("with ", "with recursive ", 1)
+
+
+@query(_mined("select array_to_string(items, ', ') as items, freq from sets", _WITH_TERMS, _SETS))
 def frequent_itemsets(spark, d):
-    sets = rules.frequent_itemsets(rules.transactions(cleaned(spark, d))).where(F.size("items") <= 3)
+    sets = rules.frequent_itemsets(write_table(rules.transactions(cleaned(spark, d)), "baskets"))
     return sets.select(t.set_text(F.col("items")).alias("items"), "freq")
 
 
 def _flat_rules(spark, d, top):
-    found = rules.association_rules(rules.transactions(cleaned(spark, d).drop("violation_terms")), top=top)
+    found = rules.association_rules(rules.transactions(cleaned(spark, d)), top=top)
     return found.select(t.set_text(F.col("antecedents")).alias("antecedents"), t.set_text(F.col("consequents")).alias("consequents"), "support", "confidence", "lift")
 
 
-@query(o.clean(_RULE_COLUMNS, _RULES))
+@query(_mined(_RULE_COLUMNS, _RULES))
 def association_rules(spark, d):
     return _flat_rules(spark, d, None)
 
 
-@query(o.clean(_RULE_COLUMNS + " order by lift desc, support desc, a, c limit 50", _RULES))
+@query(_mined(_RULE_COLUMNS + " order by lift desc, support desc, a, c limit 50", _RULES))
 def association_rules_topk(spark, d):
     return _flat_rules(spark, d, 50)
 
@@ -296,8 +314,8 @@ def unify_zip(spark, d):
 
 
 def _merged(spark, d):
-    df = cleaned(spark, d)
-    return star.merge_back(df, entity.resolve(df))
+    df = written(spark, d)
+    return write_table(star.merge_back(df, entity.resolve(df)), "merged")
 
 
 @query(o.entities("select inspection_id, entity_id, dba_name, facility_type, zip, latitude, longitude from merged"))
@@ -320,7 +338,7 @@ def inspections_fact(spark, d):
 
 
 def _kpis(spark, d):
-    return kpi.entity_kpis(cleaned(spark, d).withColumn("entity_id", F.col("license_no").cast("string")))
+    return kpi.entity_kpis(_merged(spark, d))
 
 
 @query(o.kpis("select * from kpi"))
@@ -330,7 +348,7 @@ def entity_kpis(spark, d):
 
 @query(o.kpis("select entity entity_id, unique_violation_terms, top3_violation_terms from term_best"))
 def top_violation_terms(spark, d):
-    rows = cleaned(spark, d).withColumn("entity_id", F.col("license_no").cast("string"))
+    rows = _merged(spark, d).where("entity_id is not null")
     return kpi.frequent_terms(rows.withColumn("__terms", t.parsed_terms(F.col("violation_terms"))))
 
 

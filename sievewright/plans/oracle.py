@@ -124,9 +124,9 @@ MERGED = """merged as materialized (select c.* replace (coalesce(dba_name_std, c
 DIMENSION = """dim as materialized (select row_number() over (order by entity_id nulls last) restaurant_id, * from (select entity_id, license_no, dba_name, aka_name, facility_type, address, zip, latitude, longitude from (select *, row_number() over (partition by entity_id order by inspection_id) r from merged) where r = 1))"""
 
 
-def entities(select: str, upto: str = "merged") -> str:
+def entities(select: str, upto: str = "merged", *more: str) -> str:
     ctes = {"keys": [keys("clean")], "pairs": [keys("clean"), PAIRS], "clusters": [keys("clean"), PAIRS, CLUSTERS], "canonical": [keys("clean"), PAIRS, CLUSTERS, CANONICAL], "unified": [keys("clean"), PAIRS, CLUSTERS, CANONICAL, UNIFIED], "merged": [keys("clean"), PAIRS, CLUSTERS, CANONICAL, UNIFIED, MERGED, DIMENSION]}[upto]
-    return clean(select, *ctes).replace("with ", "with recursive ", 1)
+    return clean(select, *ctes, *more).replace("with ", "with recursive ", 1)
 
 
 # ---------------------------------------------------------------- key figures
@@ -149,5 +149,5 @@ kpi as materialized (select r.entity entity_id, total_inspections, evaluated_ins
 
 
 def kpis(select: str) -> str:
-    """Key figures with the licence as the entity."""
-    return clean(select, "ent as materialized (select cast(license_no as varchar) entity, * from clean)", KPIS)
+    """Key figures of the resolved entities; inspections without one don't count."""
+    return entities(select, "merged", "ent as materialized (select entity_id entity, * exclude (entity_id) from merged where entity_id is not null)", KPIS)

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.operators import charts, clean, dependencies, kpi, profile, repair, rules, star
 from sievewright.roles import Roles
 from sievewright.sources.tables import write_csv
+from sievewright.storage import write_table
 
 
 @dataclass
 class Prepared:
-    """Every result, lazy; cleaned, repaired and merged rows are persisted, because several results come from each."""
+    """Every result, lazy; cleaned, repaired and merged rows are tables in the shared folder, because several come from each."""
 
     profile: DataFrame
     mostly_null: DataFrame
@@ -45,20 +45,16 @@ class Prepared:
         write_csv(self.kpis, f"{folder}/entity_kpis")
         write_csv(self.riskiest, f"{folder}/high_risk", one_file=True)
 
-    def release(self) -> None:
-        for df in (self.cleaned, self.repaired, self.merged):
-            df.unpersist()
-
 
 def prepare(raw: DataFrame, roles: Roles = Roles(), compat: bool = False, min_support: float = rules.MIN_SUPPORT, min_confidence: float = rules.MIN_CONFIDENCE, top_rules: int = rules.TOP, min_inspections: int = 5, top_entities: int = 100) -> Prepared:
-    """All steps over one raw table; rule mining counts the baskets at once, all else waits for an action."""
+    """All steps over one raw table. Rows that several results read, and the small tables that steps apply, are written
+    to the shared folder at once; the results themselves wait for an action."""
     raw = clean.default_license(raw, roles)
     report = profile.column_profile(raw)
-    cleaned = clean.clean_inspections(raw, roles).persist(StorageLevel.MEMORY_AND_DISK)
+    cleaned = write_table(clean.clean_inspections(raw, roles), "cleaned")
     found_rules = rules.association_rules(rules.transactions(cleaned, compat=compat, roles=roles), min_support, min_confidence, top_rules)
     fixed, summary, log = repair.repair_all(cleaned, roles=roles, compat=compat)
-    repaired = repair.final_cleaning(fixed, roles).persist(StorageLevel.MEMORY_AND_DISK)
+    repaired = write_table(repair.final_cleaning(fixed, roles), "repaired")
     merged, entities, inspections = star.structure(repaired, roles)
-    merged = merged.persist(StorageLevel.MEMORY_AND_DISK)
     kpis = kpi.entity_kpis(merged, roles, compat)
     return Prepared(report, profile.mostly_null(report), cleaned, found_rules, dependencies.detect(cleaned, roles), repaired, summary, log, merged, entities, inspections, kpis, kpi.riskiest(kpis, min_inspections, top_entities, roles), charts.chart_frames(repaired, roles, compat))

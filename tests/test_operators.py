@@ -51,6 +51,11 @@ def test_cleaning_keeps_unparseable_numbers_as_null(spark):
     assert set(got) == {0, 1, 4} and got[1]["zip"] is None and got[4]["license_no"] is None
     assert got[0]["facility_type"] == "Others" and got[0]["violation_terms"] == "1" and got[0]["inspection_month"] == 2
     assert not {"city", "state", "location", "inspection_date"} & set(clean.clean_inspections(df).columns)
+    odd = ["Infinity", "1e30", "60601.7", "-inf", "6060x", "nan", "", " 60601 ", "9223372036854775807"]
+    whole = [None, None, 60601, None, None, None, None, 60601, 9223372036854775807]
+    many = spark.createDataFrame([{**base, "inspection_id": i, "zip": v, "license_no": v} for i, v in enumerate(odd)], df.schema)
+    assert [(r["zip"], r["license_no"]) for r in clean.clean_inspections(many).orderBy("inspection_id").collect()] == [(x, x) for x in whole]
+    assert [r["zip"] for r in repair.normalise_texts(many).orderBy("inspection_id").collect()] == [None if x is None else str(x) for x in whole]
     assert clean.default_license(df.where("license_no is null")).collect()[0]["license_no"] == "0"
 
 
@@ -189,7 +194,6 @@ def test_pipeline_end_to_end(spark, insp, tmp_path):
     assert len(list(tmp_path.iterdir())) == 9
     assert tables.read_csv(spark, str(tmp_path / "inspections")).count() == p.inspections.count()
     assert tables.read_csv(spark, str(tmp_path / "association_rules")).columns == p.rules.columns
-    p.release()
 
 
 def test_pictures(insp, tmp_path):
