@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievewright.llm import decontamination, langid, mixing, neardup, sharding
 from sievewright.llm.common import read_table, write_table
+from sievewright.storage import delete_path, new_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet to the shared folder and read by the next."""
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages over documents, each written as Parquet to the shared folder and read by the next.
+
+    A stage's table is deleted when the next one is written; the last one, which the result reads, stays.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        docs = write_table(stage(spark, docs, sf_dir), name, path=path)
+        if before:
+            delete_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
