@@ -95,4 +95,10 @@ def safe_divide(a: Column, b: Column) -> Column:
 
 
 def half_even(c: Column, digits: int) -> Column:
-    return F.bround(c, digits)
+    """A double rounded as data frames and SQL do it: what is half even is the product with the power of ten.
+
+    So 0.49374999999999997 is 0.4938, as 0.49375 is: sums of rates that are ties but for their last bit stay ties
+    (bround goes by the decimal digits and makes it 0.4937).
+    """
+    x, scale = c.cast("double"), float(10**digits)
+    return F.when(F.abs(x * scale) < float(1 << 52), F.rint(x * scale) / scale).otherwise(x)  # beyond, doubles are whole

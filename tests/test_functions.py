@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,15 @@ def test_zip_rates_and_rounding(spark):
     assert one(spark, 0.00125, lambda x: c.half_even(x, 4), "double") == 0.0012
 
 
+def test_half_even_as_frames_and_sql(spark):
+    values = [3 / 6 * 0.45 + 6 / 8 * 0.3 + 7 / 8 / 7 * 0.15 + 2 / 8 * 0.1, 0.49375, 0.49365, -0.49375, 2.5, 0.0, 1e300, -1e300, float("inf"), None]
+    values += [fails / 6 * 0.45 + some / 8 * 0.3 + terms / 8 / 7 * 0.15 + none / 8 * 0.1 for fails in range(7) for some in range(9) for terms in range(0, 60, 7) for none in range(3)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double")
+    got = [r["y"] for r in rows.select("i", c.half_even(F.col("x"), 4).alias("y")).orderBy("i").collect()]
+    assert values[0] < 0.49375 and got[:4] == [0.4938, 0.4938, 0.4936, -0.4938] and got[6:10] == values[6:10]
+    assert got == [r[0] for r in duckdb.execute("select round_even(x, 4) from (select unnest(?::double[]) x)", [values]).fetchall()]
+
+
 def test_fills_and_drops(spark):
     df = spark.createDataFrame([("a", None, 0), (None, "b", 1), (None, None, None)], "x string, `y #` string, z int")
     assert [r["x"] for r in c.fill_from(df, "x", "y #").collect()] == ["a", "b", None]
