@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -9,17 +10,20 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.llm.common import Columns, chunks, lowered, mix64, small_side, text_buffers, tokenise, write_table
+from sievewright.llm.common import Columns, Mapped, chunks, lowered, mix64, small_side, text_buffers, tokenise, write_table
 
 #: Words that occur at least this often are exchanged between classes, however many they are. Words that occur once,
 #: and words never seen, are in fixed classes by their endings.
 LEAST = 2
-#: Vocabularies of at most so many words are held in memory; beyond it the same steps run as joins.
-DRIVER_WORDS = 2_000_000
+#: Vocabularies of at most so many words are files that tasks map (some 24 bytes a word, shared by an executor's
+#: workers) and 2 bytes a word in memory; beyond it the same steps run as joins.
+DRIVER_WORDS = 16_000_000
+#: Words that reach the driver at a time.
+_SLICE = 1 << 21
 CLASSES, ENDINGS = 64, 32
 #: The exchange ends when a pass over all words raises the log likelihood by less than this, a token.
 TOLERANCE = 0.02
@@ -69,13 +73,24 @@ class Vocabulary:
     def size(self) -> int:
         return len(self.hashes)
 
+    #: Where the hashes with each value of their leading bits begin; made when needed.
+    leads: np.ndarray | None = None
+
     @cached_property
     def index(self) -> tuple[np.uint64, np.ndarray]:
         """(shift, first): where the hashes with each value of their leading bits begin."""
-        bits = max(1, int(self.size).bit_length() + 1)
-        shift = np.uint64(64 - bits)
-        counts = np.bincount((self.hashes >> shift).astype(np.int64), minlength=1 << bits)
-        return shift, np.append(0, np.cumsum(counts)).astype(np.int32)
+        bits = max(1, int(self.size).bit_length())
+        shift, first = np.uint64(64 - bits), self.leads
+        if first is None:
+            first = np.full((1 << bits) + 1, self.size, np.int32)
+            for i in range(0, 1 << bits, _SLICE):
+                j = min(i + _SLICE, 1 << bits)
+                first[i:j] = np.searchsorted(self.hashes, np.arange(i, j, dtype=np.uint64) << shift)
+        return shift, first
+
+    def mapped(self, spark: SparkSession) -> Mapped:
+        """For tasks: Vocabulary(**mapped.arrays)."""
+        return Mapped(spark, hashes=self.hashes, ids=self.ids, leads=self.index[1])
 
     def symbols(self, words: np.ndarray) -> np.ndarray:
         out = ((words & np.uint64(ENDINGS - 1)) + np.uint64(1 + self.size)).astype(np.int32)
@@ -146,12 +161,21 @@ def _ints(x) -> np.ndarray:
     return np.frombuffer(x.as_buffer() if isinstance(x, pa.Scalar) else x, np.int32)
 
 
-def _pairs_of(part: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, parts: int, side: int) -> Iterator[tuple[int, int, bytes]]:
-    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+def _part_of(symbol: np.ndarray, parts: int) -> np.ndarray:
+    out = np.empty(len(symbol), np.uint16 if parts <= 1 << 16 else np.int32)
+    for i in range(0, len(symbol), 1 << 17):
+        out[i : i + (1 << 17)] = mix64(symbol[i : i + (1 << 17)].astype(np.uint64)) % np.uint64(parts)
+    return out
+
+
+def _pairs_of(a: np.ndarray, b: np.ndarray, n: np.ndarray, parts: int, side: int) -> pa.RecordBatch:
+    """(part, side, data): the pairs (a, b, n), int32, packed by the part of a."""
+    part = _part_of(a, parts)
+    order = np.argsort(part, kind="stable").astype(np.int32)
     ends = np.cumsum(np.bincount(part, minlength=parts))
-    rows = np.stack([a[order], b[order], n[order]]).astype(np.int32)
-    for p in np.flatnonzero(np.diff(ends, prepend=0)):
-        yield int(p), side, np.ascontiguousarray(rows[:, (ends[p - 1] if p else 0) : ends[p]]).tobytes()
+    found = np.flatnonzero(np.diff(ends, prepend=0))
+    data = [np.concatenate([x[order[(ends[p - 1] if p else 0) : ends[p]]] for x in (a, b, n)]).tobytes() for p in found]
+    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.full(len(found), side, np.int32)), pa.array(data, pa.binary())], names=["part", "side", "data"])
 
 
 def _merged(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,29 +198,33 @@ def neighbours(docs: DataFrame, vocabulary: Vocabulary, tokens: int) -> DataFram
     Every task counts its pairs of symbols and sends them, packed, to the part of either symbol; so a row of the
     shuffle is thousands of pairs.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = vocabulary.mapped(docs.sparkSession)
     parts = max(16, -(-2 * tokens // _PART))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = shared.value.size + 1 + ENDINGS
+        vocabulary = Vocabulary(**shared.arrays)
+        size = vocabulary.size + 1 + ENDINGS
         codes: list[np.ndarray] = []
 
-        def counted() -> pa.RecordBatch:
+        def counted() -> Iterator[pa.RecordBatch]:
             code, n = _counted(codes)
-            a, b = np.divmod(code, size)
-            rows = [r for side, x, y in ((0, a, b), (1, b, a)) for r in _pairs_of((mix64(x.astype(np.uint64)) % np.uint64(parts)).astype(np.int64), x, y, n, parts, side)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "side", "data"])
+            n, a = n.astype(np.int32), (code // size).astype(np.int32)
+            code %= size
+            b = code.astype(np.int32)
+            del code
+            yield _pairs_of(a, b, n, parts, 0)
+            yield _pairs_of(b, a, n, parts, 1)
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j in chunks(offsets, _CHUNK):
-                now, before, _ = _symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shared.value)
+                now, before, _ = _symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vocabulary)
                 if len(now):
                     codes.append(before.astype(np.int64) * size + now)
                 if sum(map(len, codes)) >= _CODES:
-                    yield counted()
+                    yield from counted()
         if codes:
-            yield counted()
+            yield from counted()
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [_merged(pdf["data"][pdf["side"] == side].tolist()) for side in (0, 1)]
@@ -540,6 +568,25 @@ def _words_of(docs: DataFrame, size: int, ranked: DataFrame) -> DataFrame:
     return counted.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def _scratch(n: int, kind: type) -> np.ndarray:
+    """An array in a file without a name."""
+    return np.memmap(tempfile.TemporaryFile(), kind, shape=max(n, 1))[:n]
+
+
+def _collected(ranked: DataFrame, size: int) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary of ranked (word, n, id), and the counts by id; words come by the leading bits of their hashes."""
+    vocabulary, counts, done = Vocabulary(_scratch(size, np.uint64), _scratch(size, np.int32)), _scratch(size, np.int64), 0
+    bits = max(0, (size // _SLICE).bit_length())
+    for lead in range(1 << bits):
+        own = (ranked.where(F.shiftrightunsigned("word", 64 - bits) == lead) if bits else ranked).toArrow()
+        hashes, ids = own["word"].to_numpy().view(np.uint64), own["id"].to_numpy()
+        order, to = np.argsort(hashes), slice(done, done + len(ids))
+        vocabulary.hashes[to], vocabulary.ids[to] = hashes[order], ids[order]
+        counts[ids - 1] = own["n"].to_numpy()
+        done += len(ids)
+    return vocabulary, counts
+
+
 def fit(docs: DataFrame, n_classes: int = CLASSES, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, driver_words: int = DRIVER_WORDS, tolerance: float = TOLERANCE) -> Model | TableModel | None:
     """The model of all texts of docs; None if they have no word.
 
@@ -558,10 +605,7 @@ def fit(docs: DataFrame, n_classes: int = CLASSES, rounds: int | None = None, id
     rare = {r["ending"]: r["types"] for r in words.where(~is_frequent).groupBy("ending").agg(F.count("*").alias("types")).collect()}
     unseen = -np.log([rare.get(e, 0) + 1.0 for e in range(ENDINGS)])  # one more for words never seen
     if size <= driver_words:
-        own = ranked.toArrow()
-        hashes, ids = own["word"].to_numpy().view(np.uint64), own["id"].to_numpy().astype(np.int32)
-        order = np.argsort(hashes)
-        vocabulary = Vocabulary(hashes[order], ids[order])
+        vocabulary, counts = _collected(ranked, size)
         over = _Held(write_table(neighbours(slim, vocabulary, tokens), "lm-neighbours"), size, n_classes)
     else:
         over = _Joined(write_table(_words_of(slim, size, ranked), "lm-bigrams"), size, n_classes)
@@ -571,8 +615,10 @@ def fit(docs: DataFrame, n_classes: int = CLASSES, rounds: int | None = None, id
         sums = F.array(*[F.lit(float(x)) for x in in_class])
         emission = F.log(F.col("n") / F.element_at(sums, F.col("class") + 1))
         return TableModel(write_table(ranked.join(classes, "id").select("word", "class", emission.alias("emission")), "lm-model"), n_classes + 1 + np.arange(ENDINGS), transitions(m), unseen)
-    emission = np.zeros(size + 1 + ENDINGS)
-    emission[ids] = np.log(own["n"].to_numpy() / in_class[classes[ids]])
+    emission = _scratch(size + 1 + ENDINGS, np.float64)
+    for i in range(0, size, _SLICE):
+        n = counts[i : i + _SLICE]
+        emission[i + 1 : i + 1 + len(n)] = np.log(n / in_class[classes[i + 1 : i + 1 + len(n)]])
     emission[size + 1 :] = unseen
     return Model(vocabulary, classes, transitions(m), emission)
 
@@ -623,17 +669,21 @@ def score_documents(docs: DataFrame, model: Model | TableModel | None, id_col: s
     slim = Columns(docs).select(id=id_col, text=text_col)
     if isinstance(model, TableModel):
         return _score_joined(slim, model, [id_col, "n_tokens", "log_prob", "perplexity"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    words = scores = transition = None
+    if model is not None:
+        words, transition = model.vocabulary.mapped(docs.sparkSession), model.transition
+        scores = Mapped(docs.sparkSession, classes=model.classes, emission=model.emission)
     schema = T.StructType([T.StructField(id_col, slim.schema[0].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = words and Model(Vocabulary(**words.arrays), transition=transition, **scores.arrays)
         for batch in batches:
             rows = batch.num_rows
             n, log = np.zeros(rows, np.int64), np.zeros(rows)
-            if shared.value is not None:
+            if model:
                 data, offsets = text_buffers(batch.column(1))
                 for i, j in chunks(offsets, _CHUNK):
-                    n[i:j], log[i:j] = log_probabilities(shared.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    n[i:j], log[i:j] = log_probabilities(model, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             perplexity = np.exp(np.minimum(-log / np.maximum(n, 1), 700))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(log), pa.array(perplexity, mask=n == 0)], names=schema.names)
 

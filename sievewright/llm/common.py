@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +60,22 @@ def small_side(df: DataFrame, row_bytes: Column) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+class Mapped:
+    """Arrays in files that each executor fetches once and its tasks map, so that its workers share their pages."""
+
+    def __init__(self, spark: SparkSession, **arrays: np.ndarray):
+        folder = tempfile.mkdtemp(prefix="sievewright-")
+        atexit.register(shutil.rmtree, folder, True)  # executors that come later fetch them too
+        self.files = {name: f"{name}-{uuid.uuid4().hex}.npy" for name in arrays}
+        for name, x in arrays.items():
+            np.save(f"{folder}/{self.files[name]}", x)
+            spark.sparkContext.addFile(f"{folder}/{self.files[name]}")
+
+    @property
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {name: np.load(SparkFiles.get(file), mmap_mode="r") for name, file in self.files.items()}
+
+
 def text_digest(text: Column) -> Column:
     """128 bits that name a text; null for a null text."""
     return F.unhex(F.md5(text))

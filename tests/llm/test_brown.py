@@ -214,3 +214,16 @@ def test_both_ways_of_fitting_and_scoring(docs, messy):
         assert [r[:2] for r in one] == [r[:2] for r in other]
         for x, y in zip(one, other, strict=True):
             assert np.isclose(x[2], y[2]) and (x[3] is None) == (y[3] is None) and (x[3] is None or np.isclose(x[3], y[3]))
+
+
+def test_vocabulary_comes_in_slices_and_is_mapped(spark, docs, fitted, monkeypatch):
+    """A vocabulary beyond a slice isn't collected or sent at once, nor joined, and gives the same model."""
+    monkeypatch.setattr(brown, "_SLICE", 16)
+    monkeypatch.setattr(brown, "_Joined", None)
+    model = brown.fit(docs, n_classes=8)
+    for name in ("hashes", "ids"):
+        assert np.array_equal(getattr(model.vocabulary, name), getattr(fitted.vocabulary, name))
+    assert np.array_equal(model.classes, fitted.classes) and np.array_equal(model.emission, fitted.emission)
+    shared = model.vocabulary.mapped(spark)
+    kinds = spark.sparkContext.parallelize([0], 1).map(lambda _: [type(x).__name__ for x in shared.arrays.values()]).collect()
+    assert kinds == [["memmap"] * 3] and brown.DRIVER_WORDS >= 5_100_000  # about what 6 GB of documents have
