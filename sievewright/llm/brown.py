@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.llm.common import Columns, Mapped, chunks, lowered, mix64, small_side, text_buffers, tokenise, write_table
+from sievewright.llm.common import Columns, Mapped, chunks, lowered, mix64, released, small_side, text_buffers, tokenise, write_table
 
 #: Words that occur at least this often are exchanged between classes, however many they are. Words that occur once,
 #: and words never seen, are in fixed classes by their endings.
@@ -150,7 +150,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if codes:
             yield counted()
 
-    counts = docs.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(released(count), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return counts.select("word", F.expr(f"cast(word & {ENDINGS - 1} as int)").alias("ending"), "n")
 
 
@@ -242,7 +242,7 @@ def neighbours(docs: DataFrame, vocabulary: Vocabulary, tokens: int) -> DataFram
             i = j
         return pd.DataFrame(out, columns=[c.split(" ")[0] for c in NEIGHBOURS.split(", ")])
 
-    return docs.mapInArrow(count, "part int, side int, data binary").groupBy("part").applyInPandas(gather, NEIGHBOURS)
+    return docs.mapInArrow(released(count), "part int, side int, data binary").groupBy("part").applyInPandas(gather, NEIGHBOURS)
 
 
 # ---------------------------------------------------------------- exchange
@@ -362,7 +362,8 @@ class _Held:
                     m += np.bincount(np.repeat(own[_ints(word)].astype(np.int64) * total, _ints(each)) + own[_ints(right)], _ints(n), total * total)
             yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary())], names=["m"])
 
-        sums = self.table.select("word", "right_each", "right", "right_n").mapInArrow(count, "m binary").toArrow()
+        sums = self.table.select("word", "right_each", "right", "right_n").mapInArrow(released(count), "m binary").toArrow()
+        shared.destroy()  # else executors hold the classes of every round
         return sum((np.frombuffer(x.as_buffer()) for x in sums["m"]), np.zeros(total * total)).reshape(total, total)
 
     def moved(self, m: np.ndarray, classes: np.ndarray, parts: int, turn: int) -> np.ndarray:
@@ -394,7 +395,8 @@ class _Held:
                         targets.append(_best_moves(gains, classes[word[mine]].astype(np.int64), sides).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int32)) for x in (words, targets)], names=["word", "target"])
 
-        to = self.table.mapInArrow(move, "word int, target int").toArrow()  # a row a word of the turn
+        to = self.table.mapInArrow(released(move), "word int, target int").toArrow()  # a row a word of the turn
+        shared.destroy()
         new = classes.copy()
         new[to["word"].to_numpy()] = to["target"].to_numpy()
         return new
@@ -687,4 +689,4 @@ def score_documents(docs: DataFrame, model: Model | TableModel | None, id_col: s
             perplexity = np.exp(np.minimum(-log / np.maximum(n, 1), 700))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(log), pa.array(perplexity, mask=n == 0)], names=schema.names)
 
-    return slim.mapInArrow(score, schema)
+    return slim.mapInArrow(released(score), schema)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +78,19 @@ class Mapped:
         return {name: np.load(SparkFiles.get(file), mmap_mode="r") for name, file in self.files.items()}
 
 
+def released(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """task, after which its worker, which Spark keeps for later ones, gives back the memory it has freed."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return run
+
+
 def text_digest(text: Column) -> Column:
     """128 bits that name a text; null for a null text."""
     return F.unhex(F.md5(text))
