@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import Columns, chunks, mix64, text_buffers, text_digest, tokenise, write_table
+from sievewright.llm.common import Columns, Mapped, chunks, mix64, text_buffers, text_digest, tokenise, write_table
 
 #: Edit similarity (in words) from which texts are near.
 THRESHOLD = 0.8
@@ -18,6 +18,8 @@ THRESHOLD = 0.8
 FAMILIES = ((1, 4, 48, 1, 48), (3, 3, 24, 38, None), (1, 6, 40, 38, None))
 #: Counters of words (by hash) that order words by rarity.
 COUNTERS = 1 << 18
+#: Bits, by digest, that tell the texts that need no alignment from most of those that may.
+BITS = 1 << 27
 
 _rng = np.random.default_rng(97)
 _MULTIPLY = _rng.integers(1, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
@@ -263,6 +265,34 @@ def _rare_words(texts: DataFrame, threshold: float) -> DataFrame:
     return texts.select("node", "text").mapInArrow(pick, "node binary, word bigint")
 
 
+def _places(nodes: pa.Array, size: int) -> np.ndarray:
+    """A bit among `size` for each digest."""
+    return np.array([int.from_bytes(x[:8], "little") % size for x in nodes.to_pylist()], np.int64)
+
+
+def _maybe_in(base: DataFrame, nodes: DataFrame, size: int = BITS) -> DataFrame:
+    """base without most of the rows whose node isn't in nodes (node), so that their texts aren't shuffled for a join.
+
+    No row of a node in nodes is lost. What tasks read is size / 8 bytes, however many nodes there are.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_places(batch.column(0), size)).astype(np.int32))], names=["place"])
+
+    bits = np.zeros(size // 8, np.uint8)
+    places = nodes.mapInArrow(mark, "place int").toArrow()["place"].to_numpy()  # 4 bytes a node
+    np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
+    shared = Mapped(base.sparkSession, bits=bits)
+
+    @F.arrow_udf("boolean")
+    def marked(node: pa.Array) -> pa.Array:
+        at = _places(node, size)
+        return pa.array(shared.arrays["bits"][at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+
+    return base.where(marked("node"))
+
+
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, families: tuple = FAMILIES, text_col: str = "text") -> DataFrame:
     """(node, root): digests of texts that are not alone in their group of near duplicates, and the group's name.
 
@@ -287,14 +317,15 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, families: tuple =
                 flat = np.concatenate(sigs) if len(sigs) else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column(0).take(pa.array(row + i)), pa.array(n[row].astype(np.int32))], names=["sig", "node", "words"])
 
-    sigs = write_table(base.mapInArrow(sketch, "sig bigint, node binary, words int"), "near-sketches")
-    least = sigs.groupBy("sig").agg(F.min(F.struct("node", "words")).alias("least"), F.max("node").alias("most")).where("least.node <> most").select("sig", "least")
-    stars = sigs.join(least, "sig").where("node <> least.node").select("sig", F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.words").alias("words_a"), F.col("words").alias("words_b"))
+    sigs = base.mapInArrow(sketch, "sig bigint, node binary, words int")
+    least = F.min(F.struct("node", "words")).over(Window.partitionBy("sig"))  # one shuffle of the sketches, and no table of them
+    stars = sigs.withColumn("least", least).where("node <> least.node").select("sig", F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.words").alias("words_a"), F.col("words").alias("words_b"))
     stars = write_table(stars.dropDuplicates(["sig", "b"]), "near-stars")
     fits = F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * F.lit(threshold) - F.lit(1e-6)
     pairs = write_table(stars.groupBy("a", "b").agg(F.first("words_a").alias("words_a"), F.first("words_b").alias("words_b")), "near-pairs")
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = write_table(base.join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+    involved = write_table(involved, "near-involved")
+    texts = write_table(_maybe_in(base, involved).join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
     first = write_table(_verify(pairs.where(fits).select("a", "b"), texts, threshold), "near-first")
     good = first.where("near").select("a", "b")
     failed = pairs.select("a", "b").join(good, ["a", "b"], "left_anti")

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sievewright.llm import neardup as nd
 from sievewright.llm.common import text_buffers, tokenise
@@ -199,3 +200,26 @@ def test_messy_and_empty(messy, empty_docs):
     ids = [r[0] for r in left.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 1, 2, 3, 4, 5, 7, 8, 9] and ids.count(None) == 1
     assert nd.near_duplicates(empty_docs).count() == 0 and nd.drop_near_duplicates(empty_docs).count() == 0
+
+
+def test_sketches_and_texts_are_shuffled_once_and_few(spark, corpus, docs, monkeypatch):
+    """No table of sketches, one shuffle of them, and only texts that may be aligned are shuffled for that."""
+    plans, write = {}, nd.write_table
+
+    def spy(df, label, *a, **k):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label, *a, **k)
+
+    monkeypatch.setattr(nd, "write_table", spy)
+    nd.near_groups(docs)
+    assert "near-sketches" not in plans and plans["near-stars"].count("Exchange hashpartitioning") == 1
+    assert "marked(" in plans["near-texts"]
+
+
+@pytest.mark.parametrize("size", [nd.BITS, 8])
+def test_filter_of_texts_loses_none(spark, size):
+    base = spark.range(5000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("node"), "id")
+    for some in (base.where("id % 50 = 0"), base.where("id < 0")):
+        wanted = {r["id"] for r in some.collect()}
+        got = {r["id"] for r in nd._maybe_in(base, some.select("node"), size).collect()}
+        assert wanted <= got and (size == 8 or got == wanted)
