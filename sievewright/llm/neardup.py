@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.llm.common import Columns, Mapped, chunks, mix64, text_buffers, text_digest, tokenise, write_table
+from sievewright.storage import delete_path, new_path
 
 #: Edit similarity (in words) from which texts are near.
 THRESHOLD = 0.8
@@ -18,8 +19,11 @@ THRESHOLD = 0.8
 FAMILIES = ((1, 4, 48, 1, 48), (3, 3, 24, 38, None), (1, 6, 40, 38, None))
 #: Counters of words (by hash) that order words by rarity.
 COUNTERS = 1 << 18
-#: Bits, by digest, that tell the texts that need no alignment from most of those that may.
-BITS = 1 << 27
+#: Bits, by digest, that tell the texts that need no alignment from most of those that may: 64 for each that may, and
+#: at least and most so many (powers of two), as every executor gets a file of them.
+LEAST_BITS, BITS = 1 << 22, 1 << 27
+#: Counters of words (by hash) of one text, for a bound on its distance to another.
+BAG = 256
 
 _rng = np.random.default_rng(97)
 _MULTIPLY = _rng.integers(1, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
@@ -189,6 +193,25 @@ def near(a: list[np.ndarray], b: list[np.ndarray], threshold: float = THRESHOLD)
     return result
 
 
+def bag_of(words: np.ndarray) -> bytes:
+    """How many of the words have each of BAG hashes; one, two, four or eight bytes for each, as the largest needs."""
+    n = np.bincount((words % np.uint64(BAG)).astype(np.int64), minlength=BAG)
+    return n.astype(np.min_scalar_type(n.max())).tobytes()
+
+
+def maybe_near(a: list[bytes], b: list[bytes], threshold: float = THRESHOLD) -> np.ndarray:
+    """Of pairs of bag_of(): False where no texts with these bags are near; no near pair is lost.
+
+    Texts share at most as many words as their bags, and no alignment is better than the words they share.
+    """
+    result = np.zeros(len(a), dtype=bool)
+    for i, sides in enumerate(zip(a, b, strict=True)):
+        x, y = (np.frombuffer(side, f"u{len(side) // BAG}").astype(np.int64) for side in sides)
+        longer = int(max(x.sum(), y.sum()))
+        result[i] = longer - np.minimum(x, y).sum() <= int((1 - threshold) * longer + 1e-9)
+    return result
+
+
 # ---------------------------------------------------------------- plan
 
 
@@ -248,7 +271,7 @@ def _token_counts(texts: DataFrame) -> np.ndarray:
 
 
 def _rare_words(texts: DataFrame, threshold: float) -> DataFrame:
-    """(node, word) of the rarest() words of texts (node, text)."""
+    """(key, word) of the rarest() words of texts (node, text); of copies, each time."""
     shared = texts.sparkSession.sparkContext.broadcast(_token_counts(texts))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,37 +283,87 @@ def _rare_words(texts: DataFrame, threshold: float) -> DataFrame:
                 own = [rarest(x[a:b], shared.value, threshold) for a, b in zip(rows[:-1], rows[1:], strict=True)]
                 row = np.repeat(np.arange(len(own)), [len(o) for o in own])
                 flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + i)), pa.array(flat.view(np.int64))], names=["node", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(batch.column(0))[row + i]), pa.array(flat.view(np.int64))], names=["key", "word"])
+
+    return texts.select("node", "text").mapInArrow(pick, "key bigint, word bigint")
+
 
-    return texts.select("node", "text").mapInArrow(pick, "node binary, word bigint")
+def _keys(nodes: pa.Array) -> np.ndarray:
+    """The first 64 bits of each digest."""
+    return np.frombuffer(b"".join(nodes.to_pylist()), np.int64).reshape(-1, 2)[:, 0]
 
 
 def _places(nodes: pa.Array, size: int) -> np.ndarray:
-    """A bit among `size` for each digest."""
-    return np.array([int.from_bytes(x[:8], "little") % size for x in nodes.to_pylist()], np.int64)
+    """A bit among `size` for each digest, or its key."""
+    keys = nodes.to_numpy() if pa.types.is_int64(nodes.type) else _keys(nodes)
+    return (keys.view(np.uint64) % np.uint64(size)).astype(np.int64)
 
 
-def _maybe_in(base: DataFrame, nodes: DataFrame, size: int = BITS) -> DataFrame:
-    """base without most of the rows whose node isn't in nodes (node), so that their texts aren't shuffled for a join.
+def _marks(nodes: DataFrame, size: int = BITS) -> Callable[[Column], Column]:
+    """Of a digest: whether it may be in nodes (a column of digests or keys); true for all that are.
 
-    No row of a node in nodes is lost. What tasks read is size / 8 bytes, however many nodes there are.
+    What tasks read is at most size / 8 bytes, however many nodes there are.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(_places(batch.column(0), size)).astype(np.int32))], names=["place"])
 
-    bits = np.zeros(size // 8, np.uint8)
     places = nodes.mapInArrow(mark, "place int").toArrow()["place"].to_numpy()  # 4 bytes a node
+    while size > max(LEAST_BITS, 64 * len(places)):
+        size //= 2
+    places = places % size
+    bits = np.zeros(size // 8, np.uint8)
     np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
-    shared = Mapped(base.sparkSession, bits=bits)
+    shared = Mapped(nodes.sparkSession, bits=bits)
 
     @F.arrow_udf("boolean")
     def marked(node: pa.Array) -> pa.Array:
         at = _places(node, size)
         return pa.array(shared.arrays["bits"][at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
 
-    return base.where(marked("node"))
+    return marked
+
+
+def _maybe_in(base: DataFrame, nodes: DataFrame, size: int = BITS) -> DataFrame:
+    """base without most of the rows whose node isn't in nodes (digests or keys), so that their texts aren't shuffled
+    for a join. No row of a node in nodes is lost."""
+    return base.where(_marks(nodes, size)("node"))
+
+
+def _bags(texts: DataFrame) -> DataFrame:
+    """(key, node, bag) of texts (node, text), once for each node."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for i, j in chunks(offsets):
+                words, rows, _, _ = tokenise(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                nodes = batch.column(0).slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(nodes)), nodes, pa.array([bag_of(words[a:b]) for a, b in zip(rows[:-1], rows[1:], strict=True)], pa.binary())], names=["key", "node", "bag"])
+
+    return texts.select("node", "text").mapInArrow(count, "key bigint, node binary, bag binary").dropDuplicates(["key", "node"])
+
+
+def _close(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(key_a, key_b, a, b, close) of pairs (key_a, key_b): all nodes of the keys, and whether their bags let them be near."""
+    both = pairs.select("key_a", "key_b")
+    for side in "ab":
+        both = both.join(bags.select(F.col("key").alias(f"key_{side}"), F.col("node").alias(side), F.col("bag").alias(f"bag_{side}")), f"key_{side}")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(maybe_near(batch.column(4).to_pylist(), batch.column(5).to_pylist(), threshold))], names=["key_a", "key_b", "a", "b", "close"])
+
+    return both.select("key_a", "key_b", "a", "b", "bag_a", "bag_b").mapInArrow(bound, "key_a bigint, key_b bigint, a binary, b binary, close boolean")
+
+
+def _nodes(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    return pairs.select(F.col(a).alias("node")).union(pairs.select(F.col(b).alias("node"))).distinct()
+
+
+def _once(texts: DataFrame) -> DataFrame:
+    return texts.groupBy("node").agg(F.first("text").alias("text"))
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, families: tuple = FAMILIES, text_col: str = "text") -> DataFrame:
@@ -298,9 +371,13 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, families: tuple =
 
     Equal texts share a digest and count once. Texts with an equal sketch are candidates. In each bucket of an equal
     sketch every text is aligned with the bucket's smallest one. Those that are not near it are then aligned with the
-    others of the bucket that share one of their rarest words, as any near one must: so all near pairs of a bucket are
+    others of the bucket that share one of their rarest words, as any near one must; so all near pairs of a bucket are
     aligned or already joined through the smallest, while texts that have only a template in common, however many,
-    aren't aligned with each other. Groups are the connected components of near pairs.
+    aren't aligned with each other. Pairs whose bags of words are too different to be near are never aligned. Groups
+    are the connected components of near pairs.
+
+    Sketches travel with 64 bits of the digest (the key), and all texts of a key are compared; of two texts with the
+    same key only their pair with each other isn't a candidate, which for near texts has the odds of 1 to 2 ** 64.
 
     Null texts have no node; texts without words have no sketch and are alone. An empty table gives no rows. Other
     columns are ignored, whatever their names.
@@ -311,35 +388,44 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, families: tuple =
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j in chunks(offsets, 1 << 21):
-                n, sigs = sketch_texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], families)
-                each = np.array([len(s) for s in sigs], dtype=np.int64)
-                row = np.repeat(np.arange(len(sigs)), each)
+                _, sigs = sketch_texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], families)
+                row = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
                 flat = np.concatenate(sigs) if len(sigs) else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column(0).take(pa.array(row + i)), pa.array(n[row].astype(np.int32))], names=["sig", "node", "words"])
-
-    sigs = base.mapInArrow(sketch, "sig bigint, node binary, words int")
-    least = F.min(F.struct("node", "words")).over(Window.partitionBy("sig"))  # one shuffle of the sketches, and no table of them
-    stars = sigs.withColumn("least", least).where("node <> least.node").select("sig", F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.words").alias("words_a"), F.col("words").alias("words_b"))
-    stars = write_table(stars.dropDuplicates(["sig", "b"]), "near-stars")
-    fits = F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * F.lit(threshold) - F.lit(1e-6)
-    pairs = write_table(stars.groupBy("a", "b").agg(F.first("words_a").alias("words_a"), F.first("words_b").alias("words_b")), "near-pairs")
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    involved = write_table(involved, "near-involved")
-    texts = write_table(_maybe_in(base, involved).join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
-    first = write_table(_verify(pairs.where(fits).select("a", "b"), texts, threshold), "near-first")
-    good = first.where("near").select("a", "b")
-    failed = pairs.select("a", "b").join(good, ["a", "b"], "left_anti")
-    again = write_table(stars.join(failed, ["a", "b"]).select("sig", F.col("b").alias("x"), F.col("words_b").alias("words_x")), "near-again")
-    met = write_table(again.select("sig").distinct().join(stars, "sig").select("sig", F.col("b").alias("y"), F.col("words_b").alias("words_y")), "near-met")
-    members = texts.join(met.select(F.col("y").alias("node")).distinct(), "node", "left_semi")
-    rare = write_table(_rare_words(members, threshold), "near-rare")
-    left = again.join(rare.withColumnRenamed("node", "x"), "x")
-    right = met.join(rare.withColumnRenamed("node", "y"), "y")
-    fits = F.least("words_x", "words_y") >= F.greatest("words_x", "words_y") * F.lit(threshold) - F.lit(1e-6)
-    others = left.join(right, ["sig", "word"]).where("x <> y").where(fits)
-    second = others.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = write_table(_verify(second, texts, threshold).where("near").select("a", "b"), "near-second")
-    return components(good.union(more), "near-roots")
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(_keys(batch.column(0))[row + i])], names=["sig", "key"])
+
+    paths: list[str] = []
+
+    def table(df: DataFrame, label: str) -> DataFrame:
+        paths.append(new_path(df.sparkSession, label))
+        return write_table(df, label, path=paths[-1])
+
+    sigs = base.mapInArrow(sketch, "sig bigint, key bigint")
+    least = F.min("key").over(Window.partitionBy("sig"))  # one shuffle of the sketches, and no table of them
+    stars = sigs.withColumn("key_a", least).where("key <> key_a").select("sig", "key_a", F.col("key").alias("key_b"))
+    stars = table(stars.dropDuplicates(["sig", "key_b"]), "near-stars")
+    pairs = table(stars.select("key_a", "key_b").distinct(), "near-pairs")
+    bags = table(_bags(_maybe_in(base, _nodes(pairs, "key_a", "key_b"))), "near-bags")
+    close = table(_close(pairs, bags, threshold), "near-close")
+    todo = close.where("close").select("a", "b")
+    texts = table(_maybe_in(base, _nodes(todo)), "near-texts")
+    good = table(_verify(todo, _once(texts), threshold), "near-first").where("near").select("a", "b")
+    failed = close.join(good, ["a", "b"], "left_anti").select("key_a", "key_b").distinct()
+    again = table(stars.join(failed, ["key_a", "key_b"]).select("sig", F.col("key_b").alias("x")), "near-again")
+    met = table(again.select("sig").distinct().join(stars, "sig").select("sig", F.col("key_b").alias("y")), "near-met")
+    wide = table(met.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "near-wide")  # in other buckets none is left to meet
+    again, met = again.join(wide, "sig", "left_semi"), met.join(wide, "sig", "left_semi")
+    members = table(_maybe_in(base, met.select("y").distinct()), "near-members")
+    rare = table(_rare_words(members, threshold).distinct(), "near-rare")
+    left = again.join(rare.withColumnRenamed("key", "x"), "x")
+    right = met.join(rare.withColumnRenamed("key", "y"), "y")
+    others = left.join(right, ["sig", "word"]).where("x <> y").select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+    second = table(_close(others.join(pairs, ["key_a", "key_b"], "left_anti"), bags, threshold).where("close").select("a", "b"), "near-others")
+    texts = table(_maybe_in(base, _nodes(second)), "near-second-texts")
+    more = table(_verify(second, _once(texts), threshold).where("near").select("a", "b"), "near-second")
+    roots = components(good.union(more), "near-roots")
+    for path in paths:
+        delete_path(docs.sparkSession, path)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, families: tuple = FAMILIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -223,3 +223,48 @@ def test_filter_of_texts_loses_none(spark, size):
         wanted = {r["id"] for r in some.collect()}
         got = {r["id"] for r in nd._maybe_in(base, some.select("node"), size).collect()}
         assert wanted <= got and (size == 8 or got == wanted)
+
+
+def test_bags_lose_no_near_pair_and_most_others():
+    rng = np.random.default_rng(8)
+    for n in (1, 4, 30, 300, 3000):
+        a = rng.integers(1, 2**63, n).astype(np.uint64)
+        a[rng.random(n) < 0.3] = 5  # also more than fit in a byte
+        b, edits = a.copy(), int(0.2 * n + 1e-9)
+        b[rng.permutation(n)[:edits]] = rng.integers(1, 2**63, edits).astype(np.uint64)
+        shorter = np.delete(a, rng.permutation(n)[:edits])
+        bags = [nd.bag_of(x) for x in (a, b, shorter, np.zeros(0, np.uint64))]
+        assert nd.maybe_near([bags[0]] * 3, bags[:3]).all() and nd.maybe_near(bags[1:3], [bags[0]] * 2).all()
+        assert not nd.maybe_near([bags[0]], [bags[3]]).any()
+    far = [nd.bag_of(rng.integers(1, 2**63, 200).astype(np.uint64)) for _ in range(40)]
+    assert not nd.maybe_near(far[:20], far[20:]).any()
+
+
+def test_pairs_that_cannot_be_near_need_no_texts(spark, monkeypatch):
+    """Two texts in no bucket of three, and too different to be near: no text is fetched, no rare word is looked for."""
+    rng = random.Random(4)
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join([*shared, *(f"v{rng.randrange(10**7)}" for _ in range(25))])) for i in range(2)]
+    seen = {}
+    write = nd.write_table
+
+    def spy(df, label, *a, **k):
+        out = write(df, label, *a, **k)
+        seen[label] = out.count()
+        return out
+
+    monkeypatch.setattr(nd, "write_table", spy)
+    assert nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 0
+    assert seen["near-pairs"] == 1 and seen["near-texts"] == seen["near-rare"] == 0
+
+
+def test_filter_of_few_texts_is_small(spark, monkeypatch):
+    sizes, real = [], nd.Mapped
+
+    def spy(spark, **arrays):
+        sizes.extend(x.nbytes for x in arrays.values())
+        return real(spark, **arrays)
+
+    monkeypatch.setattr(nd, "Mapped", spy)
+    nd._maybe_in(spark.range(9).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("node")), spark.range(5).select("id"))
+    assert sizes == [nd.LEAST_BITS // 8]
