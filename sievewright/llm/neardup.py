@@ -457,10 +457,14 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, families
     t = Columns(docs)
     roots = near_groups(docs, threshold, families, text_col)
     node = text_digest(t(text_col))
-    ids = t.df.where(t(text_col).isNotNull()).select(t(id_col).alias("id"), node.alias("node")).groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id")).alias("least"))
-    rooted = ids.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    stays = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("best")).select(F.col("best.node").alias("__node"))
+    ids = t.df.where(t(text_col).isNotNull()).select(t(id_col).alias("id"), node.alias("node")).groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id")).alias("least"), F.count("*").alias("copies"))
+    rooted = ids.join(roots, "node", "left").where("root is not null or copies > 1").select("node", "least", F.coalesce("root", "node").alias("root"))
+    rooted = write_table(rooted, "near-shared")  # all other rows stay, and aren't shuffled
+    best = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("best"))
+    stays = rooted.join(best, "root").select(F.col("node").alias("__node"), (F.col("node") == F.col("best.node")).alias("__stays"))
     one = Window.partitionBy("__node").orderBy(t(id_col).asc_nulls_last())
-    texts = t.df.where(t(text_col).isNotNull()).withColumn("__node", node).join(stays, "__node", "left_semi")
+    marked = _marks(rooted.select("node"))(F.coalesce(node, F.unhex(F.lit("00" * 16))))
+    alone = t.df.where(t(text_col).isNull() | ~marked)
+    texts = t.df.where(t(text_col).isNotNull() & marked).withColumn("__node", node).join(stays, "__node", "left").where(F.coalesce("__stays", F.lit(True)))
     kept = texts.withColumn("__nth", F.row_number().over(one)).where("__nth = 1").select(*t.inner)
-    return t.restore(kept.unionByName(t.df.where(t(text_col).isNull())))
+    return t.restore(alone.unionByName(kept))

@@ -258,6 +258,22 @@ def test_pairs_that_cannot_be_near_need_no_texts(spark, monkeypatch):
     assert seen["near-pairs"] == 1 and seen["near-texts"] == seen["near-rare"] == 0
 
 
+def test_rows_that_are_alone_are_not_shuffled(spark, corpus, docs):
+    """All but those of groups are kept as they are read: one part of the union has neither a join nor a window."""
+    plan = nd.drop_near_duplicates(docs)._jdf.queryExecution().optimizedPlan().toString()
+    alone, grouped = plan.split("\n+- ", 1)
+    assert plan.startswith("Union") and "Join" not in alone and "Window" not in alone
+    assert "Join" in grouped and "Window" in grouped
+
+
+@pytest.mark.parametrize("size", [8, 64])
+def test_marked_rows_that_are_in_no_group_stay(docs, corpus, monkeypatch, size):
+    want = sorted(r["doc_id"] for r in nd.drop_near_duplicates(docs).collect())
+    real = nd._marks
+    monkeypatch.setattr(nd, "_marks", lambda nodes, _=None: real(nodes, size))
+    assert sorted(r["doc_id"] for r in nd.drop_near_duplicates(docs).collect()) == want
+
+
 def test_filter_of_few_texts_is_small(spark, monkeypatch):
     sizes, real = [], nd.Mapped
 
