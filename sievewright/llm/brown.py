@@ -259,6 +259,8 @@ def objective(m: np.ndarray) -> float:
 
 #: Counts up to this have the changes they cause made beforehand.
 _SMALL = 16
+#: Counts up to this are summed as products of matrices, words x classes by classes x classes.
+_TINY = 4
 
 
 class Gains:
@@ -273,7 +275,9 @@ class Gains:
         self.tables = []
         for table in (m.T[:, :classes], m[:, :classes]):
             table = np.ascontiguousarray(table)
-            self.tables.append((table, _f(table), _f(table + small) - _f(table)))
+            made = _f(table + small) - _f(table)
+            made[:, np.arange(classes), np.arange(classes)] = 0  # what a class has with itself is reckoned apart
+            self.tables.append((table, _f(table), made))
         self.margins = []
         for margin in (m.sum(axis=1)[:classes], m.sum(axis=0)[:classes]):
             self.margins.append((margin, _f(margin), _f(margin + small[:, 0]) - _f(margin)))
@@ -297,22 +301,30 @@ class Gains:
             w, j = np.nonzero(new)
             if not len(w):
                 continue
-            add, e = new[w, j], np.arange(len(w))
-            few = np.minimum(add, _SMALL).astype(np.int64)
-            change = self._added(add, table[j], of[j], made[few, j])
-            o = own[w]
+            add, o = new[w, j], own[w]
+            rest = new.copy()
+            rest[each, own] = 0
+            change = np.zeros((len(own), classes))
+            for n in range(1, _TINY + 1):
+                change += (rest == n).astype(float) @ made[n]
+            many = np.flatnonzero((add > _TINY) & (j != o))
+            if len(many):
+                to, at, n = w[many], j[many], add[many]
+                each_change = self._added(n, table[at], of[at], made[np.minimum(n, _SMALL).astype(np.int64), at])
+                inner = np.flatnonzero(at < classes)
+                each_change[inner, at[inner]] = 0
+                first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                change[to[first]] += np.add.reduceat(each_change, first)
+            within = np.flatnonzero(j == o)  # at most one a word
+            to, at, lines = w[within], j[within], np.arange(len(within))
+            base = table[at].copy()
+            base[lines, at] -= mine[to, at]
+            base -= other[to, :classes]
+            base[lines, at] += self_n[to]
+            change[to] += _f(base + add[within][:, None]) - _f(base)
             base = table[j, o] - mine[w, j]  # without the word itself, wherever it is
-            change[e, o] = _f(base + add) - _f(base)
-            within = np.flatnonzero(j == o)
-            base = table[j[within]].copy()
-            base[np.arange(len(within)), o[within]] -= mine[w[within], j[within]]
-            base -= other[w[within], :classes]
-            base[np.arange(len(within)), j[within]] += self_n[w[within]]
-            change[within] = _f(base + add[within][:, None]) - _f(base)
-            inner = np.flatnonzero(j < classes)
-            change[inner, j[inner]] = 0
-            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-            total[w[first]] += np.add.reduceat(change, first)
+            change[each, own] = np.bincount(w, np.where(j == o, 0, _f(base + add) - _f(base)), len(own))
+            total += change
         add = new_right[:, :classes] + new_left[:, :classes] + self_n[:, None]
         w, k = np.nonzero(add)
         both = np.diag(self.m)[k] - np.where(k == own[w], right[w, k] + left[w, k] - self_n[w], 0)

@@ -227,3 +227,22 @@ def test_vocabulary_comes_in_slices_and_is_mapped(spark, docs, fitted, monkeypat
     shared = model.vocabulary.mapped(spark)
     kinds = spark.sparkContext.parallelize([0], 1).map(lambda _: [type(x).__name__ for x in shared.arrays.values()]).collect()
     assert kinds == [["memmap"] * 3] and brown.DRIVER_WORDS >= 5_100_000  # about what 6 GB of documents have
+
+
+def test_small_counts_are_products_of_matrices(monkeypatch):
+    """Gains of many words at once are those of each alone, and only counts over _TINY have a row of changes each."""
+    g = np.random.default_rng(5)
+    words, k, total = 60, 8, 12
+    n = g.poisson(0.4, (words, words)) * g.choice([1, 1, 1, 30], (words, words)).astype(float)
+    classes = np.concatenate([g.integers(0, k, words - 4), k + np.arange(4)])
+    m = np.zeros((total, total))
+    np.add.at(m, (classes[:, None], classes[None, :]), n)
+    right = np.stack([np.bincount(classes, n[w], total) for w in range(words - 4)])
+    left = np.stack([np.bincount(classes, n[:, w], total) for w in range(words - 4)])
+    own, self_n = classes[:-4], np.diag(n)[:-4]
+    alone = np.stack([brown.gains(m, own[w], right[w], left[w], self_n[w], k) for w in range(words - 4)])
+    rows, real = [], brown.Gains._added
+    monkeypatch.setattr(brown.Gains, "_added", lambda self, n, *a: rows.append(len(n)) or real(self, n, *a))
+    assert np.allclose(brown.Gains(m, k)(own, right, left, self_n), alone, atol=1e-8)
+    many = sum((side > brown._TINY).sum() for side in (right, left))
+    assert 0 < sum(rows) - 2 * len(own) <= many < sum((side > 0).sum() for side in (right, left))
