@@ -30,19 +30,53 @@ def _columns(df: DataFrame, *measures: str) -> DataFrame:
     return wide.select("rows", F.explode(F.array(*each)).alias("c")).select("rows", "c.*")
 
 
+#: Types whose different values are different texts (but for the zeros of floats, see _summary()).
+_PLAIN = ("string", "boolean", "date", "tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _value_table(df: DataFrame) -> DataFrame:
+    """(column, value, count) of every value of every column as text, nulls too.
+
+    All columns go through one aggregation with a row a value. A distinct count a column and measure would instead copy
+    each row, as wide as the table, once a column, and keep the copies in memory.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in df.columns]))
+    return df.select(pairs.alias("p")).groupBy("p.column", "p.value").agg(F.count("*").alias("count"))
+
+
+def _summary(df: DataFrame, values: DataFrame) -> DataFrame:
+    """(column, data_type, rows, unique_values, null_values), a row a column in their order, from _value_table()."""
+    kinds = dict(df.dtypes)
+    names = [F.struct(F.lit(c).alias("column"), F.lit(type_label(kind)).alias("data_type"), F.lit(kind in ("float", "double")).alias("__float")) for c, kind in kinds.items()]
+    base = df.sparkSession.range(1).select(F.explode(F.array(*names)).alias("c")).select("c.*")
+    zeros = F.count_if(F.col("value").isin("0.0", "-0.0"))  # one value
+    # every count is above 0: it is read so that this and _top() need the same columns, and the planner aggregates once for both
+    found = values.groupBy("column").agg(F.sum("count").alias("rows"), F.sum(F.when(F.col("value").isNull(), F.col("count")).otherwise(0)).alias("null_values"), F.count_if(F.col("value").isNotNull() & (F.col("count") > 0)).alias("__texts"), zeros.alias("__zeros"))
+    wide = base.join(F.broadcast(found), "column", "left")
+    unique = F.col("__texts") - F.when(F.col("__float") & (F.col("__zeros") > 1), 1).otherwise(0)
+    odd = [c for c, kind in kinds.items() if kind not in _PLAIN and not kind.startswith("decimal")]
+    if odd:  # texts of arrays or times may be the same for different values
+        exact = _columns(df.select(*[col(c) for c in odd]), "unique_values").select("column", F.col("unique_values").alias("__exact"))
+        wide, unique = wide.join(F.broadcast(exact), "column", "left"), F.coalesce("__exact", unique)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return wide.select("column", "data_type", zero(F.col("rows")).alias("rows"), zero(unique).alias("unique_values"), zero(F.col("null_values")).alias("null_values"))
+
+
 def _null_pct(digits: int = 2):
     return F.when(F.col("rows") > 0, half_even(F.col("null_values") * 100.0 / F.col("rows"), digits))
 
 
 def column_summary(df: DataFrame) -> DataFrame:
     """(column, data_type, unique_values, null_values, null_percentage) of every column; null percentage of no rows."""
-    return _columns(df, "unique_values", "null_values").select("column", "data_type", "unique_values", "null_values", _null_pct().alias("null_percentage"))
+    return _summary(df, _value_table(df)).select("column", "data_type", "unique_values", "null_values", _null_pct().alias("null_percentage"))
 
 
 def value_counts(df: DataFrame, top: int = 5) -> DataFrame:
     """(column, value, count, rank): the most frequent values of every column as text, nulls too; ties by value."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in df.columns]))
-    counts = df.select(pairs.alias("p")).groupBy("p.column", "p.value").agg(F.count("*").alias("count"))
+    return _top(_value_table(df), top)
+
+
+def _top(counts: DataFrame, top: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc_nulls_last()))
     return counts.withColumn("rank", rank).where(F.col("rank") <= top)
 
@@ -53,9 +87,13 @@ def column_profile(df: DataFrame, many: int = 20, top: int = 5) -> DataFrame:
     The distribution of a column with more than `many` values is its range if numeric; of any other column its most
     frequent values, a line each.
     """
-    summary = _columns(df, "unique_values", "null_values", "least", "most", "mean", "deviation")
+    values = _value_table(df)  # one shuffle, which the planner reuses
+    measures = ("least", "most", "mean", "deviation")
+    numbers = [c for c, kind in df.dtypes if type_label(kind) in ("int64", "float64")] or df.columns[:1]
+    ends = _columns(df.select(*[col(c) for c in numbers]), *measures).groupBy("column").agg(*[F.first(m).alias(m) for m in measures])  # a row each: known as unique, it isn't made if not used
+    summary = _summary(df, values).join(F.broadcast(ends), "column", "left")
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", count_line(F.col("value"), F.col("count")).alias("line")))), lambda s: s["line"]), "\n")
-    tops = value_counts(df, top).groupBy("column").agg(lines.alias("lines"))
+    tops = _top(values, top).groupBy("column").agg(lines.alias("lines"))
     wide = summary.join(F.broadcast(tops), "column", "left")  # one row a column
     is_range = (F.col("unique_values") > many) & F.col("data_type").isin("int64", "float64")
     shown = F.when(is_range, stats_line(F.col("least"), F.col("most"), F.col("mean"), F.col("deviation"))).otherwise(F.coalesce("lines", F.lit("No data")))

@@ -43,6 +43,18 @@ def test_profile_of_small_and_empty_tables(spark):
     assert [tuple(r) for r in profile.category_distribution(df, "t").collect()] == [("a", 2), ("MISSING", 1)]
 
 
+def test_profiles_take_one_row_a_value(spark, insp):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for df in (profile.column_summary(insp), profile.column_profile(insp)):
+        assert "Expand" not in plan(df)
+    numbers = profile.column_profile(insp).select("column", "least", "most", "mean", "deviation")
+    assert "Window" not in plan(numbers) and "Generate explode" in plan(numbers)
+    odd = spark.createDataFrame([(0.0, ["a, b"], "0.0"), (-0.0, ["a", "b"], "-0.0"), (float("nan"), None, "NaN"), (float("nan"), ["a", "b"], None), (None, ["a, b"], "NaN")], "x double, a array<string>, t string")
+    want = [("x", "float64", 2, 1, 20.0), ("a", "object", 2, 1, 20.0), ("t", "object", 3, 1, 20.0)]
+    assert [tuple(r) for r in profile.column_summary(odd).collect()] == want
+    assert [tuple(r)[:5] for r in profile.column_profile(odd).collect()] == want
+
+
 def test_cleaning_keeps_unparseable_numbers_as_null(spark):
     base = {"inspection_id": 1, "license_no": "5", "zip": "60601", "inspection_type": "C", "risk": "Risk 1 (High)", "inspection_date": "02/03/2021", "violations": "1. A B", "facility_type": None, "city": "x", "state": "y", "location": "z"}
     changes = [{}, {"zip": "x"}, {"zip": None}, {"license_no": "0"}, {"license_no": "x"}, {"license_no": None}, {"risk": "All"}, {"risk": None}, {"inspection_type": None}]
