@@ -41,4 +41,5 @@ def with_group_mode(df: DataFrame, keys: list[str], values: list[str], cut: bool
     """
     modes = group_mode(df, keys, values, **kw).select(*[col(k) for k in keys], *[col(v).alias(f"{v}__mode") for v in values])
     modes = write_table(modes, "modes") if cut else modes
+    modes = modes.dropDuplicates(keys)  # a row each: known as unique, the join isn't made for those who use other columns
     return df.join(modes, keys, "left").select(*[col(c) for c in df.columns], *[col(f"{v}__mode") for v in values])

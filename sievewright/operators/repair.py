@@ -40,7 +40,7 @@ def repair_fd(df: DataFrame, lhs: str | list[str], rhs: str, max_rhs: int = MAX_
     targets = _targets(df, keys, rhs, max_rhs, roles.row_id)
     targets = write_table(targets, "repairs") if cut else targets
     majority = targets.where("__value <=> __majority").select(*[c.col(k) for k in keys], "__majority")
-    joined = df.join(majority, keys, "left")
+    joined = df.join(majority.dropDuplicates(keys), keys, "left")  # known as unique, it isn't made for those who use other columns
     fixed = joined.withColumn(rhs, F.coalesce("__majority", c.col(rhs))).select(*[c.col(x) for x in df.columns])
     changed = targets.where("not (__value <=> __majority)")
     old = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("__value").isNotNull(), F.struct(F.col("__value").cast("string").alias("k"), F.col("__n").alias("v"))))))

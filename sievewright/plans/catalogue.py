@@ -212,14 +212,22 @@ def fd_repair_single(spark, d):
     return repair.repair_fd(repair.normalise_texts(cleaned(spark, d)), "address", "zip")[0].select("inspection_id", "address", "zip")
 
 
+_REPAIRED = ["inspection_id", "dba_name", "aka_name", "license_no", "facility_type", "risk", "address", "zip"]
+
+
+def _repaired(spark, d):
+    """What repairs read and change of every row: no other column is computed and written."""
+    return repair.repair_all(cleaned(spark, d).select(*_REPAIRED))
+
+
 @query(o.clean("select inspection_id, dba_name, aka_name, license_no, facility_type, risk, address, zip from r5", *o.chain()))
 def fd_repair_chain(spark, d):
-    return repair.repair_all(cleaned(spark, d))[0].select("inspection_id", "dba_name", "aka_name", "license_no", "facility_type", "risk", "address", "zip")
+    return _repaired(spark, d)[0].select(*_REPAIRED)
 
 
 @query(o.clean(" union all ".join(o.log(f"r{i}", a, b) for i, (a, b) in enumerate(o.REPAIRS, 1)), *o.chain()))
 def fd_repair_log(spark, d):
-    log = repair.repair_all(cleaned(spark, d))[2]
+    log = _repaired(spark, d)[2]
     pairs = F.transform(F.array_sort(F.map_entries("replaced_values")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return log.select("fd", "lhs_value", "rhs_column", "standardised_to", F.array_join(pairs, "; ").alias("replaced"), "rows_repaired")
 
@@ -232,7 +240,7 @@ def _summary(i: int, a: str, b: str) -> str:
 
 @query(o.clean(" union all ".join(_summary(i, a, b) for i, (a, b) in enumerate(o.REPAIRS, 1)), *o.chain()))
 def fd_repair_summary(spark, d):
-    return repair.repair_all(cleaned(spark, d))[1]
+    return _repaired(spark, d)[1]
 
 
 # ---------------------------------------------------------------- modes and imputation

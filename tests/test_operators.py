@@ -173,6 +173,14 @@ def test_edges_stay_inside_entities_and_prefilter_drops_none(cleaned):
     assert keys.agg(F.sum("cnt")).collect()[0][0] == some.count()
 
 
+def test_joins_that_are_not_used_are_not_made(spark, cleaned):
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter")
+    fixed = repair.repair_all(cleaned)[0]
+    assert joins(fixed) == 5 and joins(fixed.select("inspection_id", "risk")) == 1 and joins(fixed.select("inspection_id", "dba_name")) == 0
+    filled = impute.final_cleaning(cleaned)
+    assert joins(filled.select("facility_type")) < joins(filled)
+
+
 def test_star_keys(cleaned):
     merged, dim, fact = star.structure(cleaned)
     assert fact.count() == cleaned.count() == merged.count()
