@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: What a typed reader takes for a missing value.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
+#: Blanks of any kind: what Unicode calls white space.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 
 def col(name: str) -> Column:
     """The column of exactly this name, dots, blanks and signs included."""
@@ -61,7 +64,7 @@ def date_parts(df: DataFrame, source: str, year: str, month: str, day: str, patt
 
 def stripped(c: Column) -> Column:
     """Without blanks of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))  # a pattern would be tried at every sign of the text
 
 
 def strip_upper(c: Column) -> Column:

@@ -10,6 +10,10 @@ from sievewright.functions.coerce import stripped
 #: Where a clause's remarks begin: of these, the first in this order that occurs at all.
 MARKERS = (" - Comments:", "Comments:", " - ", "COMMENTS:")
 
+#: The number, within a bigint, that a clause begins with, where no marker cuts it short and more than blanks follows. If
+#: there are as many as clauses, they are all terms, and no clause need be looked at by itself.
+_ALL_FIRST = r"(?U)(?:^|\|)\s*([0-9]{1,18})\.(?! - )\s(?=\s*[^\s|])"
+
 
 def _before_remarks(clause: Column) -> Column:
     out = clause
@@ -24,32 +28,35 @@ def term_list(text: Column) -> Column:
     A clause has the number that it begins with, else all numbers that are followed by a dot and a capital.
     """
 
-    def numbers(clause: Column) -> Column:
-        head = _before_remarks(stripped(clause))
-        first = F.regexp_extract(head, r"(?U)^\s*(\d+)\.\s", 1)
-        return F.when(first != "", F.array(first)).otherwise(F.regexp_extract_all(head, F.lit(r"(?U)\b(\d+)\.\s+[A-Z]"), F.lit(1)))
+    def first(head: Column) -> Column:
+        return F.struct(head.alias("head"), F.regexp_extract(head, r"(?U)^\s*(\d+)\.\s", 1).alias("first"))
+
+    def numbers(s: Column) -> Column:
+        return F.when(s["first"] != "", F.array(s["first"])).otherwise(F.regexp_extract_all(s["head"], F.lit(r"(?U)\b(\d+)\.\s+[A-Z]"), F.lit(1)))
 
-    found = F.flatten(F.transform(F.split(text, r"\|", -1), numbers))
+    clauses = F.transform(F.split(text, r"\|", -1), stripped)  # a step at a time: what a function uses twice is worked out once
+    found = F.flatten(F.transform(F.transform(F.transform(clauses, _before_remarks), first), numbers))
     clean = F.transform(found, lambda x: F.regexp_replace(x, r"^0+(?=\d)", ""))
-    by_number = F.transform(F.array_sort(F.transform(F.array_distinct(clean), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), lambda s: s["x"])
-    return by_number
+    by_number = F.transform(F.sort_array(F.transform(F.array_distinct(clean), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), lambda s: s["x"])
+    count = F.length(text) - F.length(F.replace(text, F.lit("|"))) + 1
+    quick = F.array(F.regexp_extract_all(text, F.lit(_ALL_FIRST), F.lit(1)))
+    return F.transform(quick, lambda q: F.when(F.size(q) == count, F.sort_array(F.array_distinct(q.cast("array<bigint>"))).cast("array<string>")).otherwise(by_number))[0]
 
 
 def violation_terms(text: Column) -> Column:
     """term_list() joined by commas; null for a null text or one without terms."""
-    joined = F.array_join(term_list(text), ",")
-    return F.when(joined != "", joined)
+    return F.nullif(F.array_join(term_list(text), ","), F.lit(""))  # a CASE would work the list out twice
 
 
 def parsed_terms(text: Column) -> Column:
     """The whole numbers in a comma-separated list; fractions are cut, zeros and anything else left out, repeats kept."""
 
-    def number(part: Column) -> Column:
-        value = F.when(part.rlike(r"(?i)[df]\s*$"), None).otherwise(part.try_cast("double"))
-        return F.when(F.abs(value) < 1e18, value.cast("bigint"))
-
-    values = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda p: number(stripped(p)))
-    return F.filter(values, lambda v: v.isNotNull() & (v != 0))
+    text = F.coalesce(text, F.lit(""))
+    plain = F.transform(F.split(text, ","), lambda p: p.cast("bigint"))
+    parts = F.transform(F.split(text, ","), stripped)
+    doubles = F.transform(parts, lambda p: F.when(p.rlike(r"(?i)[df]\s*$"), None).otherwise(p.try_cast("double")))
+    values = F.transform(doubles, lambda v: F.when(F.abs(v) < 1e18, v.cast("bigint")))
+    return F.filter(F.when(text.rlike(r"^[0-9]{1,15}(,[0-9]{1,15})*\z"), plain).otherwise(values), lambda v: v.isNotNull() & (v != 0))
 
 
 def normalized_name(name: Column) -> Column:

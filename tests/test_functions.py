@@ -31,6 +31,27 @@ def test_parsed_terms(spark, text, want):
     assert one(spark, text, t.parsed_terms) == want
 
 
+def test_terms_are_worked_out_once(spark):
+    plan = spark.createDataFrame([("x",)], "x string").select(t.violation_terms(F.col("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(") == 1 and plan.count("regexp_replace(") == 1  # that of leading zeros: no pattern to strip
+
+
+def test_quick_terms_equal_those_of_each_clause(spark):
+    draw, bits = random.Random(3), ["1. ", "02. ", "12.", " ", "\u2003", "\n", "|", "|", " - Comments:", "Comments:", " - ", "COMMENTS:", "A", "x", "\u0663. ", "00. ", "7. B", "0", "1234567890123456789. Z"]
+    texts = [("".join(draw.choice(bits) for _ in range(draw.randint(0, 8))),) for _ in range(3000)]
+    df = spark.createDataFrame(texts, "x string")
+    slow = df.select("x", F.array_join(F.filter(F.transform(F.split("x", r"\|", -1), lambda c: t.violation_terms(F.concat(F.lit("(|"), c))), lambda c: c.isNotNull()), ",").alias("y"))  # the clause without a number keeps each from the quick way
+    order = lambda y: ",".join(sorted({v for v in y.split(",") if v}, key=lambda v: (len(v), v)))
+    got = {r["x"]: r["y"] or "" for r in df.select("x", t.violation_terms(F.col("x")).alias("y")).collect()}
+    assert got == {r["x"]: order(r["y"]) for r in slow.collect()}
+
+
+def test_blanks_are_those_of_unicode(spark):
+    df = spark.createDataFrame([(f"{chr(i)}a{chr(i)}b{chr(i)}",) for i in range(0x3100)], "x string")
+    assert df.where(c.stripped(F.col("x")) != F.regexp_replace("x", r"(?U)^\s+|\s+$", "")).count() == 0
+    assert df.where(F.length(c.stripped(F.col("x"))) == 3).count() == len(c.BLANKS) == 25
+
+
 def test_names_and_labels(spark):
     assert one(spark, "McDonald's #12", t.normalized_name) == "MCDONALDS12" and one(spark, None, t.normalized_name) == ""
     assert one(spark, "\t two  words  \n", c.strip_upper) == "TWO  WORDS"
