@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import similarity as s
-from sievewright.functions.coerce import col, half_even
+from sievewright.functions.coerce import col, half_even, stripped
 from sievewright.functions.text import normalized_name
 from sievewright.operators.modes import group_mode
 from sievewright.roles import Roles
@@ -50,6 +50,35 @@ def pair_scores(keys: DataFrame, roles: Roles = Roles(), threshold: float | None
     return out.select(F.col("block").alias(roles.license), "i", "j", "sim_name", "sim_zip", "sim_geo", "sim_facility", "score")
 
 
+def links(keys: DataFrame, roles: Roles = Roles(), threshold: float = s.THRESHOLD) -> DataFrame:
+    """(licence, i, j): few pairs of nodes that connect the same nodes as all pairs that reach the threshold do.
+
+    Equal names reach it alone and no pair does without names, so a licence's nodes fall into classes of equal names:
+    each class is a star from its first node, and two classes are linked, by their first nodes, if any pair between them
+    reaches it. Names are compared once for two classes, nodes only where the names leave it open. Licences are shuffled
+    once.
+    """
+    if not sum(s.WEIGHTS[1:]) + 0.003 < threshold <= s.WEIGHTS[0]:
+        return pair_scores(keys, roles, threshold).select(roles.license, "i", "j")
+    node = F.struct("node", F.col("zip").cast("string").alias("zip"), "lat", "lon", "category")
+    many = keys.where("diff_info_cnt > 1").select(col(roles.license).alias("block"), "node", normalized_name(col(roles.name)).alias("name"), F.lower(stripped(col(roles.category))).alias("category"), *[col(x).alias(y) for x, y in ((roles.zip, "zip"), (roles.lat, "lat"), (roles.lon, "lon"))])
+    classes = many.where("name != ''").repartition("block").groupBy("block", "name").agg(F.min("node").alias("first"), F.collect_list(node).alias("nodes"))
+    blocks = classes.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("first", "name", "nodes"))).alias("c")).withColumn("ratios", s.ratio_list(F.col("c.name")))
+    both = blocks.select("block", "ratios", "c", F.posexplode("c").alias("p", "a")).select("block", "ratios", F.size("c").alias("n"), "p", "a", F.posexplode("c").alias("q", "b")).where("p <= q")
+    ratio = F.when(F.col("p") < F.col("q"), F.expr("ratios[cast(p * (2 * n - p - 1) / 2 as int) + q - p - 1]")).otherwise(1.0)
+    both = both.select("block", "p", "q", ratio.alias("ratio"), F.col("a.first").alias("i"), F.col("b.first").alias("k"), F.col("a.nodes").alias("a"), F.col("b.nodes").alias("b"))
+    name, rest = s.WEIGHTS[0] * F.col("ratio"), sum(s.WEIGHTS[1:]) + 0.003
+    both = both.where(name + rest >= threshold).select("block", "p", "q", "ratio", "i", "k", "b", F.explode("a").alias("x"))
+    both = both.select("block", "p", "q", "ratio", "i", "k", "x", F.explode("b").alias("y"))
+    firsts = (F.col("x.node") == F.col("i")) & (F.col("y.node") == F.col("k"))
+    star = (F.col("p") == F.col("q")) & (F.col("x.node") == F.col("i")) & (F.col("y.node") != F.col("i"))
+    pairs = both.where(star | ((F.col("p") < F.col("q")) & (firsts | (name < threshold))))
+    far = s.haversine(F.col("x.lat"), F.col("x.lon"), F.col("y.lat"), F.col("y.lon"))
+    pairs = pairs.select("block", "ratio", "i", F.when(F.col("p") < F.col("q"), F.col("k")).otherwise(F.col("y.node")).alias("j"), "x", "y", far.alias("far"))
+    score = s.score(F.col("ratio"), s.same_code(F.col("x.zip"), F.col("y.zip")), s.nearness(F.col("far")), s.same_text(F.col("x.category"), F.col("y.category")))
+    return pairs.groupBy("block", "i", "j").agg(F.max(score).alias("score")).where(F.col("score") >= threshold).select(F.col("block").alias(roles.license), "i", "j")
+
+
 _QUICK_FIND = """aggregate(edges, sequence(0, n - 1), (label, e) -> transform(label, l ->
     if(l = greatest(label[e.i], label[e.j]), least(label[e.i], label[e.j]), l)))"""
 
@@ -71,8 +100,8 @@ def clusters(keys: DataFrame, edges: DataFrame, roles: Roles = Roles()) -> DataF
 
 def entity_keys(df: DataFrame, threshold: float = s.THRESHOLD, roles: Roles = Roles()) -> DataFrame:
     """union_keys() with an entity id: licence_seq, or licence_0 where a licence has one key only."""
-    keys = write_table(union_keys(df, roles), "keys")  # read by both sides of the pairs, the clusters and the result
-    found = clusters(keys, write_table(pair_scores(keys, roles, threshold), "pairs"), roles)
+    keys = write_table(union_keys(df, roles), "keys")  # read by the links, the clusters and the result
+    found = clusters(keys, links(keys, roles, threshold), roles)
     number = F.concat_ws("_", col(roles.license).cast("bigint").cast("string"), F.coalesce("seq", F.lit(0)).cast("string"))
     wide = keys.join(found.select(roles.license, "node", "seq"), [roles.license, "node"], "left")
     return wide.select(*[col(k) for k in roles.key], "cnt", "total_records", "diff_info_cnt", "node", number.alias(roles.entity))
@@ -84,14 +113,18 @@ def canonical(keys: DataFrame, roles: Roles = Roles(), suffix: str = "_std") ->
     return keys.withColumns({f"{x}{suffix}": F.first(col(x)).over(best) for x in roles.standard})
 
 
-def unify_zip(df: DataFrame, lon: str, lat: str, zip_col: str, digits: int = 6) -> DataFrame:
-    """Coordinates rounded, and one zip for each spot: the most frequent, of equals the least."""
+def unify_zip(df: DataFrame, lon: str, lat: str, zip_col: str, digits: int = 6, cut: bool = False) -> DataFrame:
+    """Coordinates rounded, and one zip for each spot: the most frequent, of equals the least.
+
+    cut: the rows, which the spots are made from and joined to, and the spots are written to the shared folder."""
     rounded = df.withColumns({x: half_even(col(x), digits) for x in (lon, lat)})
+    rounded = write_table(rounded, "rounded") if cut else rounded
     modes = group_mode(rounded, [lon, lat], [zip_col], tie="smallest").select(col(lon), col(lat), col(zip_col).alias("__zip"))
+    modes = write_table(modes, "spots") if cut else modes
     return rounded.join(modes, [lon, lat], "left").withColumn(zip_col, F.coalesce("__zip", col(zip_col))).select(*[col(x) for x in df.columns])
 
 
 def resolve(df: DataFrame, threshold: float = s.THRESHOLD, roles: Roles = Roles()) -> DataFrame:
     """All of the above: entity keys with canonical attributes and unified zips."""
     keys = canonical(entity_keys(df, threshold, roles), roles)
-    return unify_zip(keys, f"{roles.lon}_std", f"{roles.lat}_std", f"{roles.zip}_std")
+    return unify_zip(keys, f"{roles.lon}_std", f"{roles.lat}_std", f"{roles.zip}_std", cut=True)

@@ -302,8 +302,8 @@ def pair_similarity(spark, d):
 
 @query(o.entities("select c.license_no, c.node, c.component, s.seq from comp c join seqs s on s.license_no = c.license_no and s.component = c.component", "clusters"))
 def entity_clusters(spark, d):
-    keys = entity.union_keys(cleaned(spark, d))
-    return entity.clusters(keys, entity.pair_scores(keys, threshold=0.5)).withColumn("seq", F.col("seq").cast("bigint"))
+    keys = write_table(entity.union_keys(cleaned(spark, d)), "keys")
+    return entity.clusters(keys, entity.links(keys)).withColumn("seq", F.col("seq").cast("bigint"))
 
 
 @query(o.entities("select * from ekeys", "clusters"))

@@ -52,6 +52,13 @@ def test_blanks_are_those_of_unicode(spark):
     assert df.where(F.length(c.stripped(F.col("x"))) == 3).count() == len(c.BLANKS) == 25
 
 
+def test_ratio_lists_equal_ratios(spark):
+    names = [["CUSTOMER1", "CUSTOMER1INC", "UNIT0HOLDINGS", "", "KITTEN"], ["A"], [], ["AB", "BA"]]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n array<string>").select(s.ratio_list(F.col("n"))).collect()]
+    pairs = [[(x, y) for i, x in enumerate(n, 1) for y in n[i:]] for n in names]
+    assert got == [s.name_ratios(pd.Series([x for x, _ in p]), pd.Series([y for _, y in p])).tolist() for p in pairs]
+
+
 def test_names_and_labels(spark):
     assert one(spark, "McDonald's #12", t.normalized_name) == "MCDONALDS12" and one(spark, None, t.normalized_name) == ""
     assert one(spark, "\t two  words  \n", c.strip_upper) == "TWO  WORDS"

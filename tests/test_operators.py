@@ -173,6 +173,18 @@ def test_edges_stay_inside_entities_and_prefilter_drops_none(cleaned):
     assert keys.agg(F.sum("cnt")).collect()[0][0] == some.count()
 
 
+def test_links_connect_what_pairs_connect(spark, cleaned):
+    keys = entity.union_keys(cleaned).localCheckpoint()
+    links = entity.links(keys).localCheckpoint()
+    assert rows(entity.clusters(keys, links)) == rows(entity.clusters(keys, entity.pair_scores(keys, threshold=0.5)))
+    assert rows(entity.links(keys, threshold=0.7)) == rows(entity.pair_scores(keys, threshold=0.7).select("license_no", "i", "j"))
+    made = [(7, n, z, la, lo, "bar") for n, z, la, lo in itertools.product(["A B", "a-b", "A B INC", "ZZZZZZ", "", "-", "QX QX QX"], [60601, 60602], [41.5, 41.9], [-87.7])]
+    many = entity.union_keys(spark.createDataFrame(made, "license_no bigint, dba_name string, zip bigint, latitude double, longitude double, facility_type string")).localCheckpoint()
+    got = entity.links(many)
+    assert rows(entity.clusters(many, got)) == rows(entity.clusters(many, entity.pair_scores(many, threshold=0.5)))
+    assert got.count() <= 7 * 6 / 2 + len(made) < entity.pair_scores(many, threshold=0.5).count()  # a star a name, a link two names
+
+
 def test_joins_that_are_not_used_are_not_made(spark, cleaned):
     joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter")
     fixed = repair.repair_all(cleaned)[0]
