@@ -32,11 +32,6 @@ def cleaned(spark: SparkSession, d: str) -> DataFrame:
     return clean.clean_inspections(inspections(spark, d))
 
 
-def written(spark: SparkSession, d: str) -> DataFrame:
-    """cleaned(), computed once, for plans that read it several times."""
-    return write_table(cleaned(spark, d), "cleaned")
-
-
 _INSP = {"inspection_id": "int64", "dba_name": "object", "aka_name": "object", "license_no": "int64", "facility_type": "object", "risk": "object", "address": "object", "zip": "int64", "inspection_date": "object", "inspection_type": "object", "results": "object", "violations": "object", "latitude": "float64", "longitude": "float64"}
 
 
@@ -322,8 +317,8 @@ def unify_zip(spark, d):
 
 
 def _merged(spark, d):
-    df = written(spark, d)
-    return write_table(star.merge_back(df, entity.resolve(df)), "merged")
+    """Each query reads it once or writes what it uses of it. Keys and rows are cleaned apart: keys need no violations."""
+    return star.merge_back(cleaned(spark, d), entity.resolve(cleaned(spark, d)))
 
 
 @query(o.entities("select inspection_id, entity_id, dba_name, facility_type, zip, latitude, longitude from merged"))
@@ -338,20 +333,16 @@ def restaurant_dim(spark, d):
 
 @query(o.entities("select row_number() over (order by inspection_id) inspection_no, restaurant_id, inspection_type, risk, results, violations, violation_terms, inspection_year, inspection_month, inspection_day from merged m left join dim on dim.entity_id is not distinct from m.entity_id"))
 def inspections_fact(spark, d):
-    merged = _merged(spark, d)
+    merged = write_table(_merged(spark, d), "merged")
     return star.inspection_table(merged, star.entity_table(merged))
 
 
 # ---------------------------------------------------------------- key figures
 
 
-def _kpis(spark, d):
-    return kpi.entity_kpis(_merged(spark, d))
-
-
 @query(o.kpis("select * from kpi"))
 def entity_kpis(spark, d):
-    return _kpis(spark, d)
+    return kpi.entity_kpis(_merged(spark, d))
 
 
 @query(o.kpis("select entity entity_id, unique_violation_terms, top3_violation_terms from term_best"))
@@ -362,4 +353,4 @@ def top_violation_terms(spark, d):
 
 @query(o.kpis("select * from kpi where total_inspections >= 5 order by risk_index desc, fail_rate_evaluated desc nulls last, total_violations desc, entity_id limit 100"))
 def high_risk_rank(spark, d):
-    return kpi.riskiest(_kpis(spark, d))
+    return kpi.riskiest_entities(_merged(spark, d))

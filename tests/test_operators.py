@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from sievewright.functions import text as t
 from sievewright.operators import charts, clean, dependencies, entity, impute, kpi, modes, profile, repair, rules, star
 from sievewright.plans import pipeline
 from sievewright.plans.inspections import inspections
@@ -216,6 +217,23 @@ def test_risk_index_by_hand(spark):
     assert [r["entity_id"] for r in kpi.riskiest(kpi.entity_kpis(df), 1).collect()] == ["e", "q"] and kpi.riskiest(kpi.entity_kpis(df), 5).count() == 0
 
 
+def test_details_of_the_riskiest_alone(cleaned, monkeypatch):
+    merged = star.structure(cleaned)[0].localCheckpoint()
+    want = [tuple(r) for r in kpi.riskiest(kpi.entity_kpis(merged), 2, 7).collect()]
+    seen = []
+    terms = kpi.frequent_terms
+    monkeypatch.setattr(kpi, "frequent_terms", lambda rows, roles: seen.append(rows.select("entity_id").distinct().count()) or terms(rows, roles))
+    got = kpi.riskiest_entities(merged, 2, 7)
+    assert [tuple(r) for r in got.collect()] == want and len(want) == 7 and seen == [7]
+    assert kpi.riskiest_entities(merged, 10**6).count() == 0
+
+
+def test_terms_are_not_worked_out_to_filter_by_them(spark):
+    df = spark.createDataFrame([(1, "e", "1,1,2"), (2, "e", "0"), (3, "q", None)], "inspection_id int, entity_id string, violation_terms string")
+    got = kpi.frequent_terms(df.withColumn("__terms", t.parsed_terms(F.col("violation_terms"))))
+    assert rows(got) == [("e", 2, "1(2); 2(1)")] and "Filter (size(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pipeline_end_to_end(spark, insp, tmp_path):
     p = pipeline.prepare(insp)
     assert p.profile.count() == len(insp.columns) and p.rules.count() <= 50 and p.dependencies.count() == 38
